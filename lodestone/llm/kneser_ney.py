@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +67,36 @@ class Store:
         return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
 
 
-#: Columns of the word table: count as token, left neighbours, count as context, followers seen once, twice, more often.
-WORD_COLUMNS = ("count", "left", "total", "one", "two", "more")
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob, bytes of like weight together."""
+    sizes = np.array([x for a in arrays for x in (len(a), a.itemsize)], np.int64)
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes.tobytes(), *planes]))
+
+
+def unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
+    """The arrays of pack(), each as its kind of number."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    sizes, at, out = raw[: 16 * len(kinds)].view(np.int64).reshape(-1, 2).tolist(), 16 * len(kinds), []
+    for (n, size), kind in zip(sizes, kinds, strict=True):
+        plane = np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(f"u{size}").ravel()
+        out.append(plane.astype(kind))
+        at += n * size
+    return out
+
+
+def small(a: np.ndarray) -> np.ndarray:
+    """The same non-negative numbers in the narrowest unsigned type."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max))
+
+
+def steps(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_keys, prepend=U64(0))
+
+
+#: Columns of the word table: count as token, left neighbours, followers seen once, twice, more often.
+WORD_COLUMNS = ("count", "left", "one", "two", "more")
 
 
 def tokens(known: WordHashes, text: str | None) -> np.ndarray:
@@ -92,14 +121,12 @@ def _cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return [(s, int(a), int(b)) for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
 
 
-def _blobs(parts: list[tuple[int, tuple]], names: tuple) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([s for s, _ in parts], pa.int32()), *(pa.array([c[i].tobytes() for _, c in parts], pa.binary()) for i in range(len(names)))], ["shard", *names]
-    )
+def _blobs(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["shard", "blob"])
 
 
-def _count_pairs(bits: int, most: int = 1_500_000):
-    """Pairs of neighbours, counted per some million tokens, cut by shard."""
+def _count_pairs(bits: int, most: int = 2_000_000):
+    """Pairs of neighbours, counted per some million tokens, cut by shard: the shard's words, pairs of them, counts."""
 
     def flush(left, right):
         left, right = np.concatenate(left), np.concatenate(right)
@@ -107,9 +134,16 @@ def _count_pairs(bits: int, most: int = 1_500_000):
         order = np.argsort(keys)
         keys = keys[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        counts = np.diff(np.append(starts, len(keys))).astype(np.uint32)
-        keys, left, right = keys[starts], left[order][starts], right[order][starts]
-        return _blobs([(s, (left[a:b], right[a:b], counts[a:b])) for s, a, b in _cuts(keys, bits)], ("l", "r", "c"))
+        counts = np.diff(np.append(starts, len(keys)))
+        keys, order = keys[starts], order[starts]
+        left, right = left[order], right[order]
+        out = []
+        for s, a, b in _cuts(keys, bits):
+            words, at = np.unique(np.concatenate([left[a:b], right[a:b]]), return_inverse=True)
+            l, r = at[: b - a], at[b - a :]
+            by_left = np.lexsort((r, l))
+            out.append((s, pack(steps(words), small(l[by_left]), small(r[by_left]), small(counts[a:b][by_left]))))
+        return _blobs(out)
 
     def run(batches):
         known, left, right, n = WordHashes(), [], [], 0
@@ -128,17 +162,18 @@ def _count_pairs(bits: int, most: int = 1_500_000):
     return run
 
 
-def _gather(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
-
-
 def _merge_pairs(store: Store, bits: int):
     """Writes a shard's sorted arrays; gives the shard's part of the word statistics, cut by word shard."""
 
     def run(key, table):
-        left, right, c = _gather(table, "l", U64), _gather(table, "r", U64), _gather(table, "c", np.uint32).astype(np.int64)
         shard = key[0].as_py()
-        del table
+        found = []
+        for blob in table.column("blob"):
+            words, l, r, c = unpack(blob.as_py(), (U64, np.int64, np.int64, np.int64))
+            words = np.cumsum(words, dtype=U64)
+            found.append((words[l], words[r], c))
+        left, right, c = map(np.concatenate, zip(*found, strict=True))
+        del table, found
         keys = pair_keys(left, right)
         order = np.argsort(keys)
         keys = keys[order]
@@ -151,24 +186,30 @@ def _merge_pairs(store: Store, bits: int):
         tally = np.array([(c == i).sum() for i in (1, 2, 3, 4)] + [len(c)], np.int64)
         zero, one = np.zeros(len(c), np.int64), np.ones(len(c), np.int64)
         by_right, right_sums = _summed(right, [c, one])
-        by_left, left_sums = _summed(left, [c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)])
+        by_left, left_sums = _summed(left, [(c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)])
         nr, nl = len(by_right), len(by_left)
         words, sums = _summed(np.concatenate([by_right, by_left]), [
             *(np.concatenate([x, zero[:nl]]) for x in right_sums), *(np.concatenate([zero[:nr], x]) for x in left_sums)
         ])
-        parts = [(s, (words[a:b], *(x[a:b] for x in sums), tally if i == 0 else tally[:0])) for i, (s, a, b) in enumerate(_cuts(words, bits))]
-        return pa.Table.from_batches([_blobs(parts, ("word", *WORD_COLUMNS, "tally"))])
+        return pa.Table.from_batches([_blobs([
+            (s, pack(steps(words[a:b]), *(small(x[a:b]) for x in sums), tally if i == 0 else tally[:0])) for i, (s, a, b) in enumerate(_cuts(words, bits))
+        ])])
 
     return run
 
 
 def _merge_words(store: Store):
+    """Writes a shard's sorted words and their numbers; gives its sums for the model's global numbers."""
+
     def run(key, table):
         shard = key[0].as_py()
-        words, sums = _summed(_gather(table, "word", U64), [_gather(table, c, np.int64) for c in WORD_COLUMNS])
+        found = [unpack(x.as_py(), (U64, *[np.int64] * 6)) for x in table.column("blob")]
+        words = np.concatenate([np.cumsum(f[0], dtype=U64) for f in found])
+        words, sums = _summed(words, [np.concatenate([f[i] for f in found]) for i in range(1, 6)])
         store.write(f"word-{shard:06d}.key", words)
-        store.write(f"word-{shard:06d}.stats", np.stack(sums, axis=1))
-        tally = _gather(table, "tally", np.int64).reshape(-1, 5).sum(axis=0)
+        store.write(f"word-{shard:06d}.count", sums[0])
+        store.write(f"word-{shard:06d}.stats", np.minimum(np.stack(sums[1:], axis=1), np.iinfo(np.uint32).max).astype(np.uint32))
+        tally = np.concatenate([f[6] for f in found]).reshape(-1, 5).sum(axis=0)
         left = sums[1]
         numbers = [int(sums[0].sum()), int((sums[0] > 0).sum()), *((int((left == i).sum())) for i in (1, 2, 3, 4)), int(left.sum()), int((left > 2).sum()), *map(int, tally)]
         return pa.Table.from_arrays([pa.array([x], pa.int64()) for x in numbers], [f"s{i}" for i in range(len(numbers))])
@@ -195,6 +236,7 @@ class KneserNey:
     pair_discounts: tuple
     word_discounts: tuple
     pair_types: int
+    texts: int
     leftover: float
     _maps: dict = field(default_factory=dict, repr=False)
 
@@ -230,40 +272,43 @@ class KneserNey:
         left[1:] = right[:-1]
         left[starts] = START
         words, inverse = np.unique(np.append(right, START), return_inverse=True)
-        stats = self._find("word", words, "stats", "int64", len(WORD_COLUMNS))
+        seen = self._find("word", words, "count", "int64", 1)[:, 0]
+        stats = self._find("word", words, "stats", "uint32", len(WORD_COLUMNS) - 1)
         inverse, start = inverse[:-1], inverse[-1]
         before = np.empty_like(inverse)
         before[1:] = inverse[:-1]
         before[starts] = start
         pairs, pair_at = np.unique(pair_keys(left, right), return_inverse=True)
         count = self._find("pair", pairs, "count", "uint32", 1)[:, 0]
-        base = np.log10((stats[:, 0] + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1)))
+        base = np.log10((seen + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1)))
         uniform = 1.0 / (self.vocabulary + 1)
         d = np.array([0.0, *self.word_discounts])
         types = max(self.pair_types, 1)
-        lower = np.maximum(stats[:, 1] - d[np.minimum(stats[:, 1], 3)], 0) / types + self.leftover * uniform
+        lower = np.maximum(stats[:, 0] - d[np.minimum(stats[:, 0], 3)], 0) / types + self.leftover * uniform
         d = np.array([0.0, *self.pair_discounts])
-        total = np.maximum(stats[:, 2], 1)
-        back = np.where(stats[:, 2] > 0, (stats[:, 3:6] @ d[1:]) / total, 1.0)
+        # every token but the end is once the context of a token; the start is one once a text
+        total = np.where(words == START, self.texts, seen)
+        back = np.where(total > 0, (stats[:, 1:] @ d[1:]) / np.maximum(total, 1), 1.0)
+        total = np.maximum(total, 1)
         held = np.maximum(count - d[np.minimum(count, 3)], 0)
         p = held[pair_at] / total[before] + back[before] * lower[inverse]
-        return sizes, np.add.reduceat((stats[:, 0] > 0)[inverse].astype(np.int64), starts), np.add.reduceat(base[inverse], starts), np.add.reduceat(np.log10(p), starts)
+        return sizes, np.add.reduceat((seen > 0)[inverse].astype(np.int64), starts), np.add.reduceat(base[inverse], starts), np.add.reduceat(np.log10(p), starts)
 
 
 def train(docs: DataFrame, wanted: Column | None = None) -> KneserNey:
     """Count all rows of ``docs`` where ``wanted`` holds (null texts are empty ones) and write the model's arrays."""
     spark = docs.sparkSession
     texts = (docs if wanted is None else docs.where(wanted)).select(F.col("text").cast("string").alias("text"))
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts_read, chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     bits = max(3, int(np.ceil(np.log2(max(1, chars * _TOKENS_PER_CHAR / PAIRS_PER_SHARD)))))
     store = Store(f"{scratch(spark)}/kneser-ney-{uuid.uuid4().hex}")
-    pairs = texts.mapInArrow(_count_pairs(bits), "shard int, l binary, r binary, c binary")
-    parts = pairs.groupBy("shard").applyInArrow(_merge_pairs(store, bits), "shard int, word binary, " + ", ".join(f"{c} binary" for c in WORD_COLUMNS) + ", tally binary")
+    pairs = texts.mapInArrow(_count_pairs(bits), "shard int, blob binary")
+    parts = pairs.groupBy("shard").applyInArrow(_merge_pairs(store, bits), "shard int, blob binary")
     sums = parts.groupBy("shard").applyInArrow(_merge_words(store), ", ".join(f"s{i} long" for i in range(13)))
     s = [int(x or 0) for x in sums.agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(13))).first()]
     word_d = discounts(*s[2:6])
     leftover = (word_d[0] * s[2] + word_d[1] * s[3] + word_d[2] * s[7]) / s[6] if s[6] else 1.0
-    return KneserNey(store.root, bits, s[0], s[1], discounts(*s[8:12]), word_d, s[12], leftover)
+    return KneserNey(store.root, bits, s[0], s[1], discounts(*s[8:12]), word_d, s[12], texts_read, leftover)
 
 
 def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
