@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, Rolling, WordHashes, components, list_array, longs, materialize, mix, rows, split_words
+from lodestone.llm.common import U64, Rolling, WordHashes, components, groups, list_array, longs, materialize, mix, rows
 
 _GOLD = U64(0x9E3779B97F4A7C15)
+TILE = 2048
+TILE_SHINGLES = 2_000_000
 
 
 def _lower(text: str | None) -> list[bytes]:
@@ -64,15 +66,17 @@ def _sketches(width: int, bins: int, band: int):
     def run(batches):
         known = WordHashes()
         for batch in rows(batches):
-            n, s1, s2, keys = [], [], [], []
+            n, s1, s2, keys, coordinates = [], [], [], [], []
             for text in batch.column(1):
                 x = shingles(known.array(_lower(text.as_py())), width)
                 n.append(len(x))
                 s1.append(mix(x).sum(dtype=U64))
                 s2.append(mix(x ^ U64(0xE7037ED1A0B428DB)).sum(dtype=U64))
-                keys.append(band_keys(sketch(x, bins), band) if len(x) else x)
+                s = sketch(x, bins) if len(x) else x
+                keys.append(band_keys(s, band) if len(x) else x)
+                coordinates.append(s.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), longs(np.array(s1, U64)), longs(np.array(s2, U64)), list_array(keys)], ["doc_id", "n", "s1", "s2", "bands"]
+                [batch.column(0), pa.array(n, pa.int64()), longs(np.array(s1, U64)), longs(np.array(s2, U64)), list_array(keys), pa.array(coordinates, pa.binary())], ["doc_id", "n", "s1", "s2", "bands", "coordinates"]
             )
 
     return run
@@ -88,60 +92,104 @@ def _sets(width: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bins: int = 128, band: int = 4, star_rounds: int = 6) -> DataFrame:
+def _joined_components(bins: int, band: int, least: int, percent: int):
+    """Of one bucket's tile: pairs of components that a link joins, as few as tell which components come together.
+
+    A pair of documents that meets in several buckets is looked at on the first band on which it agrees; one that agrees
+    on fewer than ``least`` coordinates is passed over, the others are confirmed on their full sets.
+    """
+
+    def run(batches):
+        for table in groups(batches, "tile"):
+            comps, side, n = (table.column(c).to_numpy() for c in ("comp", "side", "n"))
+            sets = [np.asarray(x.values) for chunk in table.column("shingles").chunks for x in chunk]
+            t = int(table.column("t")[0].as_py())
+            coordinates = np.frombuffer(b"".join(table.column("coordinates").to_pylist()), np.uint8).reshape(-1, bins)
+            alike = coordinates.reshape(len(comps), bins // band, band)
+            first, second = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(comps)),) * 2
+            of = {c: c for c in comps.tolist()}
+
+            def root(c, of=of):
+                while of[c] != c:
+                    of[c] = c = of[of[c]]
+                return c
+
+            joined = []
+            for i in first.tolist():
+                j = second[comps[second] != comps[i]]
+                if not side.any():
+                    j = j[j > i]
+                for at in range(0, len(j), 4096):
+                    k = j[at : at + 4096]
+                    k = k[(alike[k, t] == alike[i, t]).all(axis=1)]
+                    k = k[100 * np.minimum(n[k], n[i]) >= percent * np.maximum(n[k], n[i])]
+                    if t:
+                        k = k[~(alike[k, :t] == alike[i, :t]).all(axis=2).any(axis=1)]
+                    same = (coordinates[k] == coordinates[i]).sum(axis=1)
+                    for k in k[np.argsort(-same, kind="stable")][: int((same >= least).sum())].tolist():
+                        x, y = root(int(comps[i])), root(int(comps[k]))
+                        if x != y:
+                            common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                            if 100 * common >= percent * (len(sets[i]) + len(sets[k]) - common):
+                                of[max(x, y)] = min(x, y)
+                                joined.append((min(x, y), max(x, y)))
+            if joined:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*joined, strict=True)], ["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bins: int = 128, band: int = 4, slack: float = 4.0, hubs: int = 3) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, class_id (smallest doc_id of the same shingle set), component_id, kept.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. Documents link when 100 * |A & B| >= percent * |A | B| on the full
     sets. A pair at 0.75 shares a band of ``band`` of 128 coordinates with probability 1 - (1 - 0.75**4)**32 > 0.99999.
-    Equal sets collapse to one representative first. Candidates are then linked as stars around a bucket's members,
-    and whatever buckets still join different components is compared pair by pair, so no link between components is
-    lost and a large group of near copies is never expanded into all its pairs.
+    Equal sets collapse to one representative first. Members of a bucket are then compared with ``hubs`` of them and
+    linked into components; in buckets that still hold several components, pairs between components are compared in
+    tiles, by coordinates first: a pair goes on to the full sets unless it agrees on fewer than ``slack`` standard
+    deviations below what the threshold leads to expect (chance 3e-5 at the threshold). Links inside a component
+    change nothing and tiles give only the components that they join, so no group is expanded into rows of pairs.
 
     Null or empty text: no shingles, linked with nothing, kept. Null doc_id: component_id and kept are null. Rows
     repeated with one doc_id share its component. Empty table: empty result.
     """
     if bins % band:
         raise ValueError("bins must be a multiple of band")
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = materialize(
-        docs.mapInArrow(_sketches(width, bins, band), "doc_id long, n long, s1 long, s2 long, bands array<long>"), "sketches"
+        docs.mapInArrow(_sketches(width, bins, band), "doc_id long, n long, s1 long, s2 long, bands array<long>, coordinates binary"), "sketches"
     )
     named = sketched.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    in_bands = classes.select("rep", F.explode("bands").alias("key"))
-    shared = in_bands.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("hub")).where("c > 1").select("key", "hub")
-    members = materialize(in_bands.join(shared, "key"), "members")
+    classes = named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("coordinates").alias("coordinates"))
+    classes = materialize(classes, "classes")
+    in_bands = classes.select("rep", F.posexplode("bands").alias("t", "key"))
+    hub = [F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"h{i}") for i in range(1, hubs)]
+    shared = in_bands.groupBy("t", "key").agg(F.count("*").alias("c"), F.min("rep").alias("h0"), *hub).where("c > 1").drop("c")
+    members = materialize(in_bands.join(shared, ["t", "key"]), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, n long, shingles array<long>")
     sets = materialize(sets, "sets")
-    links = tested = None
-    pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    for turn in range(star_rounds + 1):
-        checked = materialize(_confirm(pairs, sets, percent), "pairs")
-        tested = checked if tested is None else tested.unionByName(checked)
-        links = materialize(tested.where("linked").select("a", "b"), "links")
-        comp = materialize(components(links), "components")
-        at = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        spread = at.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "c")
-        open_ = materialize(at.join(spread, "key"), "open")
-        sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("m"), F.first("c").alias("c"))
-        found = sizes.agg(F.sum(F.col("m") * (F.col("c") - F.col("m")) / 2), F.sum("m")).first()
-        if not found[1]:
-            break
-        last = found[0] <= 16 * found[1] or turn >= star_rounds - 1
-        if last:
-            one, two = open_.alias("one"), open_.alias("two")
-            pairs = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.rep") < F.col("two.rep")) & (F.col("one.comp") != F.col("two.comp")))
-            pairs = pairs.select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")).distinct()
-        else:
-            hubs = open_.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("hub"))
-            pairs = open_.join(hubs, "key").where("comp <> hub.comp")
-            pairs = pairs.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        if last:
-            checked = materialize(_confirm(pairs, sets, percent), "pairs")
-            comp = materialize(components(links.unionByName(checked.where("linked").select("a", "b"))), "components")
-            break
+    pairs = members.select("rep", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(hubs))))).alias("hub")).where("rep <> hub")
+    pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    links = materialize(_confirm(pairs, sets, percent), "links")
+    comp = materialize(components(links), "components")
+    at = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("t", "key", "rep", F.coalesce("component", "rep").alias("comp"))
+    at = at.join(classes.select("rep", "n", "coordinates"), "rep")
+    open_ = at.groupBy("t", "key").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    chunks = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("weight") / TILE_SHINGLES)).cast("int")
+    met = at.join(open_.select("t", "key", chunks.alias("chunks")), ["t", "key"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    met = met.join(sets.select("rep", "shingles"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tile = F.xxhash64("t", "key", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    met = met.select(tile.alias("tile"), "t", "rep", "comp", "n", "coordinates", "shingles", (F.col("chunk") > F.col("other")).cast("int").alias("side"))
+    wish = percent / 100
+    least = math.floor(bins * wish - slack * math.sqrt(bins * wish * (1 - wish)))
+    met = met.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "tile").sortWithinPartitions("tile", "side", "rep")
+    more = materialize(met.mapInArrow(_joined_components(bins, band, least, percent), "a long, b long"), "joined")
+    over = components(more).toDF("component", "top")
+    comp = comp.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")).unionByName(
+        over.join(comp.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
+    )
     found = sketched.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left")
     found = found.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
@@ -149,11 +197,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bins: in
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) by the full shingle sets."""
-    # rows repeated with one doc_id have one set each; the first by size stands for the id
+    """The pairs (a, b) that link by their full shingle sets."""
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("xa"))
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("xb"))
-    both = pairs.join(left, "a").where(F.col("na") > 0).join(right, "b")
-    both = both.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+    both = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     common = F.size(F.array_intersect("xa", "xb")).cast("long")
-    return both.select("a", "b", (100 * common >= percent * (F.col("na") + F.col("nb") - common)).alias("linked"))
+    return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
