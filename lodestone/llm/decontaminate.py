@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +22,8 @@ class PlainWords(WordHashes):
     """Hash of a word in lower case without punctuation at its ends; 0 where nothing is left."""
 
     def of(self, word: bytes) -> int:
-        bare = _EDGE.sub("", word.decode("utf-8", "replace").lower())
+        bare = word.decode("utf-8", "replace").lower()
+        bare = bare if bare.isalnum() else _EDGE.sub("", bare)
         return super().of(bare.encode("utf-8", "replace")) | 1 if bare else 0
 
 
@@ -84,24 +85,38 @@ class Items:
                 owners[x].append(i)
         self.seeds = np.array(sorted(owners), U64)
         self.owners = [owners[x] for x in self.seeds.tolist()]
+        self.bags = [Counter(h.tolist()) for h in self.words]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.seeds >> U64(44)).astype(np.int64)] = True
 
-    def regions(self, h: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """For each item seeded in the passage the regions to align, merged where they overlap."""
+    def regions(self, h: np.ndarray, threshold: float) -> dict[int, list[tuple[int, int]]]:
+        """For each item seeded in the passage the regions to align, merged where they overlap.
+
+        A region with too few of the item's words for the threshold, even if all aligned, is left out.
+        """
         if len(h) < self.n or not len(self.seeds):
             return {}
         grams = Rolling(h).windows(self.n)
-        slot = np.searchsorted(self.seeds, grams)
+        likely = np.flatnonzero(self.maybe[(grams >> U64(44)).astype(np.int64)])
+        slot = np.searchsorted(self.seeds, grams[likely])
         slot[slot == len(self.seeds)] = 0
+        sure = self.seeds[slot] == grams[likely]
         found: dict[int, list[list[int]]] = defaultdict(list)
-        for at in np.flatnonzero(self.seeds[slot] == grams).tolist():
-            for i in self.owners[slot[at]]:
+        for at, x in zip(likely[sure].tolist(), slot[sure].tolist(), strict=True):
+            for i in self.owners[x]:
                 reach = 2 * len(self.words[i])
                 a, b = max(0, at - reach), min(len(h), at + reach)
                 if found[i] and a <= found[i][-1][1] and b - found[i][-1][0] <= 4096:
                     found[i][-1][1] = b
                 else:
                     found[i].append([a, b])
-        return found
+        kept = {}
+        for i, regions in found.items():
+            for a, b in regions:
+                there = set(h[a:b].tolist())
+                if sum(m for w, m in self.bags[i].items() if w in there) >= threshold * len(self.words[i]):
+                    kept.setdefault(i, []).append((a, b))
+        return kept
 
 
 def _search(shared, threshold: float):
@@ -112,7 +127,7 @@ def _search(shared, threshold: float):
             todo = defaultdict(list)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, at = plain(known, text.as_py())
-                for i, regions in items.regions(h).items():
+                for i, regions in items.regions(h, threshold).items():
                     todo[i] += [(doc, at[a:b], h[a:b]) for a, b in regions]
             out = []
             for i, cases in todo.items():
