@@ -1,4 +1,6 @@
 """All registered queries."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodestone.plans import algorithm_queries, relational_queries, text_queries  # noqa: F401  they register themselves
+from lodestone.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
