@@ -72,7 +72,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], block: int = 64, other
     ends = spark.createDataFrame([(k,) for k in full], "grp string").join(ends, "grp", "left")
     ends = ends.where("c > 0").select("grp", F.floor(F.col("c") / block).alias("j"), a[F.col("grp")].alias("a")).withColumn("k", F.col("j") % F.col("a"))
     # a source whose blocks are used up leaves its next slot unfilled; one without a single row has no say
-    stop = ends.join(schedule, ["grp", "k"]).agg(F.min(slots).alias("stop"))
-    placed = placed.join(F.broadcast(schedule), ["grp", "k"]).crossJoin(F.broadcast(stop))
+    stop = ends.join(schedule, ["grp", "k"]).agg(F.min(slots)).first()[0]
+    placed = placed.join(F.broadcast(schedule), ["grp", "k"])
     slot = slots.alias("mix_slot")
-    return placed.select("row.*", slot, (F.col("rn") % block).alias("mix_place"), F.coalesce(slots < F.col("stop"), F.lit(False)).alias("mix_within"))
+    return placed.select("row.*", slot, (F.col("rn") % block).alias("mix_place"), (slots < F.lit(stop or 0)).alias("mix_within"))
