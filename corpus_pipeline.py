@@ -11,8 +11,13 @@ from lodestone.llm.queries import BLOCK, WEIGHTS
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is predicted; rejects those without a letter or a text."""
+    """Keeps documents whose language is predicted; rejects those without a letter or a text.
+
+    Where no row is labelled, no language can be learned and only documents without a letter go.
+    """
     model = language_id.train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return docs.where(language_id.language_column(model) != "und")
 
 
@@ -26,8 +31,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Removes passages of 50 words and more that an earlier document holds; text and n_chars follow."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     out = substring_dedup.repeated_spans(docs, carry=others)
-    out = out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
-    return out.select(docs.columns)
+    now = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*(now.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ def _remove(width: int, seed: int):
 def repeated_spans(docs: DataFrame, width: int = 50, seed: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word covered by a window whose words also start in a document with a smaller doc_id.
 
-    Input: doc_id long, text string; of other columns only those named in ``carry`` go along. Output, a row for each input row: doc_id, kept_text,
+    Input: doc_id long, text string; those named in ``carry`` go along as a struct, carried. Output, a row for each input row: doc_id, kept_text,
     n_words, n_removed, span_starts and span_ends (maximal removed intervals, word positions, end exclusive),
     kept_sha256. ``kept_text`` is the text itself where nothing goes, else the kept words joined by one space.
 
@@ -122,8 +122,8 @@ def repeated_spans(docs: DataFrame, width: int = 50, seed: int = 20, carry: tupl
     """
     if not 0 < seed <= width:
         raise ValueError("seed must be between 1 and width")
-    kinds = dict(docs.dtypes)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    along = [F.struct(*carry).alias("carried")] if carry else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *along)
     real = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     runs = materialize(real.mapInArrow(_find_runs(width, seed), "seed long, run long, doc_id long"), "runs")
     shared = runs.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed")
@@ -139,5 +139,5 @@ def repeated_spans(docs: DataFrame, width: int = 50, seed: int = 20, carry: tupl
     window_hits = windows.join(first, ["x", "y"]).where("doc_id > m").select("doc_id", F.lit(None).cast("long").alias("run"), "x")
     hits = run_hits.unionByName(window_hits).groupBy("doc_id").agg(F.collect_set("run").alias("runs"), F.collect_set("x").alias("xs"))
     schema = "doc_id long, kept_text string, n_words long, n_removed long, span_starts array<long>, span_ends array<long>, kept_sha256 string"
-    joined = docs.join(hits, "doc_id", "left").select("doc_id", "text", "runs", "xs", *carry)
-    return joined.mapInArrow(_remove(width, seed), ", ".join([schema, *(f"`{c}` {kinds[c]}" for c in carry)]))
+    joined = docs.join(hits, "doc_id", "left").select("doc_id", "text", "runs", "xs", *(["carried"] if carry else []))
+    return joined.mapInArrow(_remove(width, seed), schema + (f", carried {dict(docs.dtypes)['carried']}" if carry else ""))

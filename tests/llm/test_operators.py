@@ -1,0 +1,412 @@
+"""The operators against plain Python versions, and their defined results on odd rows."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from lodestone.llm import decontaminate, embedding_dedup, language_id, minhash_dedup, mixing, queries, substring_dedup, token_counts, url_filter, warc_revisit
+from lodestone.llm.common import components, crc_of
+
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "one two three four five six"), (5, "word " * 30_000), (6, "\u00e9t\u00e9 \u00a0x"), (7, "%%% ### 123")]
+SCHEMA = "doc_id long, text string, n int, rep string, component string, key string, source string, carried int"
+
+
+def frame(spark, rows):
+    """Documents with further columns whose names occur inside the operators."""
+    return spark.createDataFrame([(i, t, 1, None, "c", "k", None, 7) for i, t in rows], SCHEMA)
+
+
+def corpus(seed, n=60):
+    """Documents with shared passages, near copies and repeats within a document."""
+    r = random.Random(seed)
+    vocabulary = [f"{r.choice('ABCxyz')}w{i}" for i in range(300)]
+    words = lambda k: r.choices(vocabulary, k=k)
+    passages = [words(k) for k in (49, 50, 51, 70, 120)] + [["Is", "onhe."] * 60]
+    docs = []
+    for i in range(n):
+        d = words(r.randrange(0, 200))
+        for _ in range(r.randrange(3)):
+            p = r.choice(passages)
+            at = r.randrange(len(d) + 1)
+            d[at:at] = p[r.randrange(5) :] if r.random() < 0.4 else p
+        if docs and r.random() < 0.3:
+            d = list(r.choice(docs))
+            for _ in range(r.randrange(4)):
+                if d:
+                    d[r.randrange(len(d))] = r.choice(vocabulary)
+        docs.append(d)
+    ids = r.sample(range(1000), n)
+    return [(i, r.choice([" ", "\n", " \t"]).join(d)) for i, d in zip(ids, docs, strict=True)]
+
+
+def union(pairs, ids):
+    of = {i: i for i in ids}
+
+    def root(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        of[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize(("seed", "width", "gram"), [(0, 50, 20), (1, 50, 20), (2, 7, 3), (3, 5, 5)])
+def test_substring_dedup(spark, seed, width, gram):
+    rows = corpus(seed)
+    first = {}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in rows}
+    for i in sorted(words):
+        for k in range(len(words[i]) - width + 1):
+            first.setdefault(tuple(words[i][k : k + width]), i)
+    got = {r.doc_id: r for r in substring_dedup.repeated_spans(frame(spark, rows), width, gram, ("n", "carried")).collect()}
+    assert len(got) == len(rows)
+    for i, w in words.items():
+        gone = {p for k in range(len(w) - width + 1) if first[tuple(w[k : k + width])] < i for p in range(k, k + width)}
+        kept = " ".join(x for p, x in enumerate(w) if p not in gone)
+        assert (got[i].n_words, got[i].n_removed) == (len(w), len(gone))
+        assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+        assert {p for a, b in zip(got[i].span_starts, got[i].span_ends, strict=True) for p in range(a, b)} == gone
+        assert all(b < c for b, c in zip(got[i].span_ends, got[i].span_starts[1:], strict=False))
+        assert got[i].carried.carried == 7
+
+
+def test_substring_dedup_odd_rows(spark):
+    out = substring_dedup.repeated_spans(frame(spark, ODD)).collect()
+    assert len(out) == len(ODD) and all(r.n_removed == 0 for r in out)
+    assert {r.doc_id: r.n_words for r in out if r.doc_id in (1, 2, 3, 5)} == {1: 0, 2: 0, 3: 0, 5: 30_000}
+    again = substring_dedup.repeated_spans(frame(spark, [(5, "word " * 3000), (9, "word " * 3000), (5, "word " * 3000)])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in again) == [(5, 0), (5, 0), (9, 3000)]
+    assert substring_dedup.repeated_spans(frame(spark, [])).count() == 0
+
+
+def shingle_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def near_truth(rows):
+    sets = {i: shingle_set(t) for i, t in rows}
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    return sets, union(links, ids)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_minhash_dedup(spark, seed):
+    rows = corpus(seed, 120) + [(2000 + i, t) for i, t in enumerate(["a b", "A b", "a b c", "", "a b c d e", "a b c d E"])]
+    sets, want = near_truth(rows)
+    got = minhash_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
+
+
+def test_minhash_dedup_group_of_near_copies(spark, monkeypatch):
+    """Copies at all distances of one text, over small tiles, against all pairs."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        d = list(base)
+        for p in r.sample(range(150), r.randrange(0, 14)):
+            d[p] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(d)))
+    monkeypatch.setattr(minhash_dedup, "TILE", 16)
+    _, want = near_truth(rows)
+    assert len(set(want.values())) > 3
+    got = minhash_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert {x.doc_id: x.component_id for x in got} == want
+
+
+def test_minhash_dedup_odd_rows(spark):
+    out = minhash_dedup.near_duplicates(frame(spark, ODD)).collect()
+    assert len(out) == len(ODD)
+    by = {r.doc_id: r for r in out}
+    assert by[1].n_shingles == by[2].n_shingles == by[3].n_shingles == 0 and by[1].kept and by[2].component_id == 2
+    assert by[None].component_id is None and by[None].kept is None and by[5].n_shingles == 1
+    assert minhash_dedup.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_sketch_fills_every_coordinate():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 50, 1000):
+        s = minhash_dedup.sketch(rng.integers(0, 2**63, n).astype(np.uint64))
+        assert s.max() < np.iinfo(np.uint64).max
+    a = rng.integers(0, 2**63, 1000).astype(np.uint64)
+    b = np.concatenate([a[:800], rng.integers(0, 2**63, 200).astype(np.uint64)])
+    agree = np.mean([(minhash_dedup.sketch(a ^ np.uint64(k)) == minhash_dedup.sketch(b ^ np.uint64(k))).mean() for k in range(20)])
+    assert abs(agree - 800 / 1200) < 0.03
+
+
+def test_components(spark):
+    r = random.Random(2)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(500, 500), (None, 3)]
+    got = {x.node: x.component for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    linked = [(a, b) for a, b in pairs if a is not None and a != b]
+    want = union(linked, {x for p in linked for x in p})
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def vectors(seed, n=400, dim=64):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, dim))
+    for i in range(n // 2, n):
+        base[i] = base[rng.integers(n // 2)] + rng.normal(size=dim) * rng.choice([0, 0.1, 0.25, 0.35, 0.4, 0.6])
+    return [(i, [float(x) for x in np.float32(v)], int(rng.integers(3))) for i, v in enumerate(base)]
+
+
+def cosine_truth(rows, threshold=0.93):
+    sound = [(i, np.array(v, float), lab) for i, v, lab in rows if lab is not None and v and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    links = [(a, b) for k, (a, x, p) in enumerate(sound) for b, y, q in sound[k + 1 :] if p == q and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= threshold]
+    return links, Counter(i for p in links for i in p), union(links, [i for i, _, _ in rows])
+
+
+@pytest.mark.parametrize("tile", [2048, 16])
+def test_embedding_dedup(spark, monkeypatch, tile):
+    monkeypatch.setattr(embedding_dedup, "TILE", tile)
+    rows = vectors(1)
+    rows += [(1000, None, 1), (1001, [0.0] * 64, 1), (1002, [float("nan")] * 64, 1), (1003, [None] + [1.0] * 63, 1), (1004, rows[0][1], None), (1005, rows[0][1], rows[0][2]), (1006, [float("inf")] * 64, 1), (1007, [], 2), (1008, [1.0], 2)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, rep string")
+    links, n, comp = cosine_truth(rows)
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(df).collect()}
+    assert len(got) == len(rows)
+    found = sum(r.n_links for r in got.values()) / 2
+    assert 0.99 * len(links) <= found <= len(links)
+    assert all(r.n_links <= n[i] for i, r in got.items())
+    assert sum(r.component_id == comp[i] for i, r in got.items()) >= 0.99 * len(rows)
+    assert all(got[i].n_links == 0 and got[i].kept for i in (1000, 1001, 1002, 1003, 1004, 1006, 1007, 1008))
+    assert embedding_dedup.near_vectors(df.where("false")).count() == 0
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "http://Example.ORG/es/1", "https://m.example.org/en/12?x", "http://example.org/en/2", "http://a.com/fr/", "http://a.com/fr", "http://com/de/x", "http://xcom/de/", "https://example.org", "x://.org/", "http://a.org#f", "http://a.com//de/", "h://a.com/de/b/c/d", "//a.org/"]
+
+    def truth(url):
+        host, path = "", ""
+        if url and "://" in url:
+            rest = url.split("://", 1)[1]
+            host = re.match(r"[^/?#]*", rest)[0]
+            path = re.match(r"[^?#]*", rest[len(host) :])[0]
+            host = host.lower()
+        fits = [(h.count("."), len(p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, *(max(fits)[2:] if fits else (None, "allow")))
+
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    got = url_filter.judge_urls(df).orderBy("page_id").collect()
+    assert [tuple(r)[1:] for r in got] == [truth(u) for u in urls]
+    assert url_filter.judge_urls(df.where("false")).count() == 0
+    rules = [("allow", "a.com", "/x/"), ("block", "com", "/x/y"), ("block", "a.com", "/x/y/z")]
+    one = lambda u: url_filter.judge_urls(spark.createDataFrame([(1, u)], "page_id long, url string"), rules, "block").first().rule
+    assert [one(u) for u in ("h://b.a.com/x/q", "h://b.a.com/x/y/zz", "h://c.com/x/yy", "h://a.com/x")] == ["a.com/x/", "a.com/x/y/z", "com/x/y", None]
+
+
+def test_warc_revisit(spark):
+    r = random.Random(3)
+    records = []
+    for i in range(400):
+        url = f"HTTP{r.choice(['', 's'])}://{r.choice(['www.', ''])}Site{r.randrange(4) if r.random() < 0.6 else 0}.com/p{r.randrange(3)}{r.choice(['', '/', '#x', '?utm_a=1'])}"
+        records.append((i, r.randrange(300) if r.random() > 0.03 else None, url if r.random() > 0.03 else None, r.choice(["response", "revisit", "request"]), r.choice([200, 200, 304, None]), r.choice(['"a"', '"b"', None]), r.choice(["d1", "d2", None]), {"Date": str(i), "X-Own": "1", "ETag": "e"} if r.random() > 0.1 else None))
+    df = spark.createDataFrame(records, "record_id long, ts long, uri string, kind string, status int, etag string, digest string, headers map<string,string>")
+    key = lambda u: re.sub(r"^https?://(www\.)?", "", u.lower()).split("#")[0].split("?")[0].rstrip("/")
+    for size in (1, 16, 4096):
+        got = {x.record_id: x for x in warc_revisit.resolve_revisits(df, size).collect()}
+        assert len(got) == sum(x[3] == "revisit" for x in records)
+        for i, ts, uri, kind, _, etag, digest, headers in records:
+            if kind != "revisit":
+                continue
+            full = [x for x in records if x[3] == "response" and x[4] != 304 and None not in (x[1], x[2], ts, uri) and key(x[2]) == key(uri) and (x[1], x[0]) < (ts, i)]
+            old = max(full, key=lambda x: (x[1], x[0]), default=None)
+            if old is None:
+                assert (got[i].refers_to, got[i].outcome, got[i].headers) == (None, "missing", None)
+                continue
+            checks = [a == b for a, b in ((etag, old[5]), (digest, old[6])) if a is not None and b is not None]
+            outcome = "unvalidated" if not checks else "resolved" if checks[0] else "mismatch"
+            assert (got[i].refers_to, got[i].outcome) == (old[0], outcome)
+            if outcome != "mismatch":
+                mine = {k.lower(): v for k, v in (headers or {}).items() if k.lower() in warc_revisit.PERMITTED}
+                assert got[i].headers == {k.lower(): v for k, v in (old[7] or {}).items()} | mine and got[i].digest == old[6]
+    assert warc_revisit.resolve_revisits(df.where("false")).count() == 0
+
+
+def test_token_counts(spark):
+    r = random.Random(5)
+    parts = ["word", " ", "  ", "\n", "***", "!!!!", "don't", "123", "\u00e9\u00e9", "...", " %%%", "\t\t", "a"]
+    texts = ["".join(r.choices(parts, k=r.randrange(400))) for _ in range(60)] + [t for _, t in ODD]
+    encoder = token_counts.Encoder(token_counts.VOCABULARY)
+    got = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for row, text in zip(got, texts, strict=True):
+        text = text or ""
+        cleaned = token_counts._RUNS.sub(r"\1", text)
+        assert (row.tokens_before, row.tokens_after) == tuple(len(encoder.encoding.encode_ordinary(x)) for x in (text, cleaned))
+    assert token_counts.count_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_token_tree_any_edits():
+    r = random.Random(6)
+    encoder = token_counts.Encoder(token_counts.VOCABULARY)
+    pieces = ["ab", " ", "  ", "\n", "'s", "9", "!", "x y", ""]
+    for _ in range(600):
+        text = "".join(r.choices(pieces, k=r.randrange(500)))
+        cuts = sorted(r.sample(range(len(text) + 1), min(len(text) + 1, 2 * r.randrange(5)) // 2 * 2))
+        edits = [(a, b, "".join(r.choices(pieces, k=r.randrange(4)))) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        tree = token_counts.TokenTree(encoder, text)
+        tree.apply(edits)
+        for a, b, s in reversed(edits):
+            text = text[:a] + s + text[b:]
+        assert tree.text == text and tree.total == len(encoder.encoding.encode_ordinary(text))
+    long = "one two three. " * 5000 + "!!!!" + " four five six." * 5000
+    tree = token_counts.TokenTree(encoder, long)
+    assert 0 < tree.apply(token_counts.symbol_runs(long)) < 200
+
+
+def languages(seed, n=400):
+    r = random.Random(seed)
+    letters = {"aa": "aeioulmn", "bb": "bdgkrstz", "cc": "cfhpqvwx\u00e9", "dd": "aeighjy\u00fc"}
+    rows = []
+    for i in range(n):
+        lang = r.choice(list(letters))
+        rows.append((i, " ".join("".join(r.choices(letters[lang], k=r.randrange(2, 9))) for _ in range(r.randrange(3, 60))), lang))
+    return rows
+
+
+def test_language_id(spark):
+    rows = languages(1)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, crc_of("doc_id") % 3 != 1)
+    out = {r.doc_id: r for r in language_id.identify(df, model).collect()}
+    held = [r.doc_id for r in df.where(crc_of("doc_id") % 3 == 1).collect()]
+    assert np.mean([out[i].lang_pred == rows[i][2] for i in held]) > 0.95
+    assert all(0 <= r.score <= 1 for r in out.values())
+    odd = language_id.identify(frame(spark, ODD), model).collect()
+    assert len(odd) == len(ODD)
+    assert {r.doc_id: r.lang_pred for r in odd if r.doc_id in (1, 2, 3, 7)} == dict.fromkeys((1, 2, 3, 7), "und")
+    assert language_id.identify(df.where("false"), model).count() == 0
+    none = language_id.train(df.where("false"))
+    assert language_id.identify(df, none).first().lang_pred == "und"
+    single = language_id.train(df.where("lang = 'aa'"))
+    assert language_id.identify(df, single).first().lang_pred == "aa"
+
+
+def test_codewords_are_apart():
+    for k in (2, 3, 4, 7, 12, 40):
+        code = language_id.codewords(k)
+        apart = min((code[i] != code[j]).sum() for i in range(k) for j in range(i))
+        assert code.shape[0] == k and apart >= 1 and (k < 5 or apart >= 5)
+
+
+def smith_waterman(a, b):
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            h[i + 1][j + 1] = max(0, h[i][j] + (2 if x == y else -1), h[i][j + 1] - 1, h[i + 1][j] - 1)
+    return max(map(max, h))
+
+
+def test_alignment_scores():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        item = rng.integers(1, 6, rng.integers(1, 15)).astype(np.uint64)
+        passages = [rng.integers(1, 6, rng.integers(1, 30)).astype(np.uint64) for _ in range(4)]
+        for p, (score, begin, end) in zip(passages, decontaminate.align(item, passages), strict=True):
+            assert score == smith_waterman(item.tolist(), p.tolist())
+            if score:
+                assert smith_waterman(item.tolist(), p[begin:end].tolist()) == score
+
+
+def test_decontamination(spark):
+    r = random.Random(8)
+    words = [f"t{i}" for i in range(400)]
+    items = [(i, " ".join(r.choices(words, k=r.randrange(12, 40)))) for i in range(30)] + [(90, None), (91, ""), (92, "t1 t2"), (None, "t1 t2 t3")]
+    docs, planted = [], defaultdict(set)
+    for d in range(120):
+        text = r.choices(words, k=r.randrange(0, 300))
+        if d % 3 == 0:
+            i = r.randrange(30)
+            copy = items[i][1].split()
+            for _ in range(r.randrange(1 + len(copy) // 8)):
+                copy[r.randrange(len(copy))] = "edited"
+            if r.random() < 0.5:
+                del copy[len(copy) // 2]
+            at = r.randrange(len(text) + 1)
+            text[at:at] = [w.upper() + r.choice(["", ",", "!!"]) for w in copy]
+            planted[d].add(i)
+        docs.append((d, " ".join(text)))
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs + [(500, None), (501, "")]], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: set(x.item_ids) for x in decontaminate.judge_documents(df, bench).collect()}
+    assert got == {d: planted[d] for d in [*range(120), 500, 501]}
+    kept = {x.doc_id for x in decontaminate.without_leaks(df, bench).collect()}
+    assert kept >= {d for d in range(120) if not planted[d]} and not kept & set(planted) - {d for d in planted if not planted[d]}
+    assert decontaminate.judge_documents(df, bench.where("false")).where("contaminated").count() == 0
+    assert decontaminate.judge_documents(df.where("false"), bench).count() == 0
+
+
+def test_source_mixing(spark):
+    weights = {"a": 5, "b": 3, "c": 1}
+    rows = [(i, "a" if i % 3 else "bcd"[i // 3 % 3]) for i in range(3000)] + [(7, "a"), (None, None), (9, None)]
+    df = spark.createDataFrame([(*r, "p") for r in rows], "doc_id long, source string, part string")
+    out = mixing.mix_sources(df, weights, 4).collect()
+    assert len(out) == len(rows) and Counter((r.doc_id, r.source) for r in out) == Counter(rows)
+    assert len({(r.mix_slot, r.mix_place) for r in out}) == len(out)
+    of = {}
+    for r in out:
+        g = r.source if r.source in weights else "other"
+        assert of.setdefault(r.mix_slot, g) == g
+    stop = 1 + max(r.mix_slot for r in out if r.mix_within)
+    assert stop > 50
+    done = Counter()
+    for t in range(stop):
+        done[of[t]] += 1
+        assert all(abs(done[g] - (t + 1) * w / 10) < 1 for g, w in {**weights, "other": 1}.items())
+    assert mixing.mix_sources(df.where("false"), weights).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix_sources(df, {"a": 0})
+
+
+def test_period_is_pfair(spark):
+    r = random.Random(1)
+    for _ in range(5):
+        w = {f"s{i}": r.randrange(1, 30) for i in range(r.randrange(1, 8))}
+        total = sum(w.values())
+        got = mixing.period(spark, w).collect()
+        assert sorted(x.slot for x in got) == list(range(total))
+        for x in got:
+            assert x.k * total // w[x.grp] <= x.slot < -(-(x.k + 1) * total // w[x.grp])
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage's effect on planted rows, by plain Python."""
+    rows = [(i, t, lang, f"src{i % 20}", len(t)) for i, t, lang in languages(2, 80)]
+    r = random.Random(0)
+    base = rows[10][1].split() + [w for k in range(11, 16) for w in rows[k][1].split()]
+    passage = [f"{'aeiou'[i % 5]}lm{i}" for i in range(60)]
+    near = list(base)
+    near[3] = "changed"
+    item = " ".join(passage[:20][::-1])
+    extra = [(200, " ".join(base)), (201, " ".join(near)), (202, " ".join(base)), (203, " ".join(r.sample(base, 40) + passage)), (204, " ".join(r.sample(base, 45) + passage)), (205, "123 %% 4"), (206, None), (207, " ".join(r.sample(base, 50)) + " " + item)]
+    rows += [(i, t, "aa", "src1", 0) for i, t in extra]
+    spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, lang string, source string, n_chars long, carried string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(out) == set(range(80)) | {200, 203, 204} and all(x.carried == "k" for x in out.values())
+    assert out[203].text == extra[3][1] and out[204].text == " ".join(extra[4][1].split()[:45]) and out[204].n_chars == len(out[204].text)
+    assert len({(x.mix_slot, x.mix_place) for x in out.values()}) == len(out)
+    empty = tmp_path / "empty"
+    for t in ("documents", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").where("false").write.parquet(f"{empty}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_names_and_order():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "minhash_dedup", "substring_dedup", "decontamination", "source_mixing"]
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
