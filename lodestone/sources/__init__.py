@@ -28,7 +28,9 @@ def split_lines(df: DataFrame, schema: list[tuple[str, str]], pattern: str = r"\
 def adjacency(df: DataFrame, value: str = "value") -> DataFrame:
     """Edges src, dst of lines ``person<sep>friend friend ...`` with any of ``: , space tab`` between."""
     parts = F.filter(F.split(F.trim(value), r"[:,\s]+"), lambda x: x != "")
-    return df.select(parts.alias("p")).select(F.get("p", F.lit(0)).try_cast("long").alias("src"), F.explode(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))).try_cast("long").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+    friends = F.explode(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))).alias("dst")
+    pairs = df.select(parts.alias("p")).select(F.get("p", F.lit(0)).alias("src"), friends)
+    return pairs.select(*(F.col(c).try_cast("long").alias(c) for c in ("src", "dst"))).where("src IS NOT NULL AND dst IS NOT NULL")
 
 
 def fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
