@@ -32,6 +32,20 @@ def scratch(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers a thousand at a time: Arrow's buffers lie outside the heap on both sides.
+
+    A setting that is smaller already stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

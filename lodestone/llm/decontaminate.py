@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, Rolling, WordHashes, rows, split_words
+from lodestone.llm.common import U64, Rolling, WordHashes, rows, small_batches, split_words
 
 MOST_ITEM_BYTES = 32 << 20
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -146,6 +146,7 @@ def _search(shared, threshold: float):
 
 def item_blocks(benchmark: DataFrame, n: int = 3, rare: int = 4) -> Iterator[Broadcast]:
     """The benchmark's items in blocks of about 32 MB at most, each sent to the workers."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.length("text") * 4)).first()[0] or 0
     blocks = size // MOST_ITEM_BYTES + 1

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, groups, materialize
+from lodestone.llm.common import components, groups, materialize, small_batches
 
 TILE = 2048
 
@@ -118,6 +118,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
     Empty table: empty result. A bucket with many vectors is cut into tiles of about 2048, spread over tasks.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("vector"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(
         F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0), F.lit(False)

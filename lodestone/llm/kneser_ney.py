@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, WordHashes, mix, rows, scratch
+from lodestone.llm.common import U64, WordHashes, mix, rows, scratch, small_batches
 
 START, END = U64(0x5354415254), U64(0x454E44)
 PAIRS_PER_SHARD = 3_000_000
@@ -298,6 +298,7 @@ class KneserNey:
 def train(docs: DataFrame, wanted: Column | None = None) -> KneserNey:
     """Count all rows of ``docs`` where ``wanted`` holds (null texts are empty ones) and write the model's arrays."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = (docs if wanted is None else docs.where(wanted)).select(F.col("text").cast("string").alias("text"))
     texts_read, chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     bits = max(3, int(np.ceil(np.log2(max(1, chars * _TOKENS_PER_CHAR / PAIRS_PER_SHARD)))))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, mix, rows
+from lodestone.llm.common import U64, mix, rows, small_batches
 
 BUCKETS = 1 << 16
 MOST_LANGUAGES = 256
@@ -82,6 +82,7 @@ def train(docs: DataFrame, wanted: Column | None = None, per_language: int = 4_0
     The sample is chosen by a hash of doc_id. n-grams are counted in Spark; the driver gets at most BUCKETS counts a
     language. More than 256 languages are refused. Without a usable row the model knows no language.
     """
+    small_batches(docs.sparkSession)
     good = F.col("text").isNotNull() & F.col("lang").isNotNull()
     docs = docs.where(good if wanted is None else good & wanted).select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string"))
     sizes = dict(docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect())
@@ -120,6 +121,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Null or empty text and text without a letter: ``und``, 0.0, true. Whole texts are read, however long. Repeated
     rows are each answered. Empty table: empty result. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x bits floats, whatever the input
 
     def run(batches):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, Rolling, WordHashes, components, groups, list_array, longs, materialize, mix, rows
+from lodestone.llm.common import U64, Rolling, WordHashes, components, groups, list_array, longs, materialize, mix, rows, small_batches
 
 _GOLD = U64(0x9E3779B97F4A7C15)
 TILE = 2048
@@ -156,6 +156,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bins: in
     if bins % band:
         raise ValueError("bins must be a multiple of band")
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = materialize(
         docs.mapInArrow(_sketches(width, bins, band), "doc_id long, n long, s1 long, s2 long, bands array<long>, coordinates binary"), "sketches"

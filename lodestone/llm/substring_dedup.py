@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, Rolling, WordHashes, list_array, longs, materialize, mix, rows, sliding_min, split_words
+from lodestone.llm.common import U64, Rolling, WordHashes, list_array, longs, materialize, mix, rows, sliding_min, small_batches, split_words
 
 
 def _runs(hashes: np.ndarray, width: int, seed: int):
@@ -122,6 +122,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, seed: int = 20, carry: tupl
     """
     if not 0 < seed <= width:
         raise ValueError("seed must be between 1 and width")
+    small_batches(docs.sparkSession)
     along = [F.struct(*carry).alias("carried")] if carry else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *along)
     real = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())

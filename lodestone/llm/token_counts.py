@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import rows
+from lodestone.llm.common import rows, small_batches
 
 LEAF = 32
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -168,6 +168,7 @@ def count_tokens(docs: DataFrame, edits=symbol_runs, vocabulary: str = VOCABULAR
             columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "tokens_before", "tokens_after", "n_edits", "n_pretokens", "n_reencoded"])
 
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
         run, f"doc_id {kind}, tokens_before long, tokens_after long, n_edits long, n_pretokens long, n_reencoded long"
