@@ -165,13 +165,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bins: in
     classes = named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("coordinates").alias("coordinates"))
     classes = materialize(classes, "classes")
     in_bands = classes.select("rep", F.posexplode("bands").alias("t", "key"))
-    hub = [F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"h{i}") for i in range(1, hubs)]
-    shared = in_bands.groupBy("t", "key").agg(F.count("*").alias("c"), F.min("rep").alias("h0"), *hub).where("c > 1").drop("c")
-    members = materialize(in_bands.join(shared, ["t", "key"]), "members")
+    shared = in_bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")  # a key holds its band's number
+    members = materialize(in_bands.join(shared, "key", "left_semi"), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, n long, shingles array<long>")
     sets = materialize(sets, "sets")
-    pairs = members.select("rep", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(hubs))))).alias("hub")).where("rep <> hub")
+    hub = [F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"h{i}") for i in range(1, hubs)]
+    pairs = members.join(members.groupBy("key").agg(F.min("rep").alias("h0"), *hub), "key").select("rep", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(hubs))))).alias("hub")).where("rep <> hub")
     pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     links = materialize(_confirm(pairs, sets, percent), "links")
     comp = materialize(components(links), "components")
