@@ -74,8 +74,8 @@ def test_joins(spark):
     want = [("1", "10", "100", "1000"), ("2", "20", "200", "2000"), ("3", "10", "100", "1000")]
     for strategy in ("chain", "shares"):
         assert rows(joins.chain_join(r, s, t, strategy=strategy), "a", "b", "c", "d") == want
-    small = spark.sql("SELECT '10' AS b, 'x' AS c")
-    assert "BroadcastHashJoin" in plan(joins.lookup_join(r, small, "b")) and rows(joins.lookup_join(r, small, "b"), "a") == [("1",), ("3",)]
+    few = spark.range(5).selectExpr("cast(id * 10 AS string) AS b", "id")
+    assert "BroadcastHashJoin" in plan(joins.lookup_join(r, few, "b")) and rows(joins.lookup_join(r, few, "b"), "a") == [("1",), ("2",), ("3",)]
 
 
 def test_left_join_distinct_locations(spark):
