@@ -44,16 +44,18 @@ def base_count(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def kmers(df: DataFrame, sequence: str, k: int) -> DataFrame:
     """(kmer, n) of all full-length substrings; sequences shorter than k give none."""
-    long_enough = df.where(F.length(sequence) >= k).select(F.split(sequence, "").alias("c"))
-    pieces = F.transform(F.sequence(F.lit(1), F.size("c") - (k - 1)), lambda i: F.array_join(F.slice("c", i, k), ""))
-    return long_enough.select(F.explode(pieces).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    pieces = F.regexp_extract_all(sequence, F.lit(f"(?s)(?=(.{{{int(k)}}}))"), F.lit(1))  # a look-ahead at every position
+    return df.select(F.explode(pieces).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 def relative_frequency(df: DataFrame, tokens: Column, window: int = 2) -> DataFrame:
     """(word, neighbour, n, total, frequency): pairs at most ``window`` positions apart over the word's sum of pairs."""
-    at = df.select(tokens.alias("t")).where(F.size("t") >= 2).select("t", F.posexplode("t").alias("i", "word"))
-    near = F.filter(F.sequence(F.greatest(F.col("i") - window, F.lit(0)), F.least(F.col("i") + window, F.size("t") - 1)), lambda j: j != F.col("i"))
-    pairs = at.select("word", F.explode(F.transform(near, lambda j: F.get("t", j))).alias("neighbour"))
+    near = df.select(tokens.alias("t")).where(F.size("t") >= 2)
+    both = lambda x, y: F.array(F.struct(x.alias("word"), y.alias("neighbour")), F.struct(y.alias("word"), x.alias("neighbour")))
+    # the text against itself, moved by 1 .. window words: no row carries the whole text along
+    length = lambda d: F.greatest(F.size("t") - d, F.lit(0))
+    moved = F.concat(*(F.zip_with(F.slice("t", 1, length(d)), F.slice("t", 1 + d, length(d)), both) for d in range(1, window + 1)))
+    pairs = near.select(F.explode(F.flatten(moved)).alias("p")).select("p.word", "p.neighbour")
     counts = pairs.groupBy("word", "neighbour").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("word"))
     return counts.withColumn("total", total).withColumn("frequency", F.col("n") / F.col("total"))
