@@ -42,6 +42,26 @@ def subsets(items) -> Column:
     return F.when(n > 0, F.transform(masks, pick)).otherwise(F.array().cast("array<array<string>>"))
 
 
+def polynomial_hash(word, seed: int = 1125899906842597) -> Column:
+    """h = 31 * h + code of each character, modulo 2**64, as a signed long."""
+    whole = F.lit(str(1 << 64)).cast("decimal(38,0)")
+    codes = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    step = lambda h, c: ((h * 31 + c) % whole).cast("decimal(38,0)")
+    h = F.aggregate(codes, F.lit(seed).cast("decimal(38,0)"), step)
+    return F.when(h >= whole / 2, h - whole).otherwise(h).cast("long")
+
+
+def bucket(h, n: int) -> Column:
+    """abs(h) modulo n, the number of a hash partition."""
+    return F.abs(h % n)
+
+
+def category_code(column, names: list[str]) -> Column:
+    """Place of the value among ``names``, from 0; null for others."""
+    at = F.array_position(F.array(*map(F.lit, names)), F.col(column) if isinstance(column, str) else column)
+    return F.when(at > 0, at - 1)
+
+
 def without_index(items, i) -> Column:
     return F.filter(items, lambda _, j: j != i)
 

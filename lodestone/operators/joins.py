@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when the optimiser's size of it is at most this.
@@ -43,8 +43,12 @@ def left_join_distinct(detail: DataFrame, dim: DataFrame, on: str, group: str, v
 
 
 def share_of_group(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Each row's part of its group's sum, by a window rather than a join with the aggregate."""
-    return df.withColumn("share", F.col(value) / F.sum(value).over(Window.partitionBy(group)))
+    """Each row's part of its group's sum.
+
+    Sums are combined before the shuffle and joined back, so that a hot group's rows can be split over tasks.
+    """
+    sums = df.groupBy(F.col(group).alias("_g")).agg(F.sum(value).alias("_sum"))
+    return df.join(sums, F.col(group).eqNullSafe(F.col("_g"))).withColumn("share", F.col(value) / F.col("_sum")).drop("_g", "_sum")
 
 
 def pairs_in_group(df: DataFrame, group: str, item: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def words(text: Column, min_length: int = 1, strip: str = "[,.;]$") -> Column:
-    """Words between white space, one trailing mark stripped, then those of ``min_length`` and more."""
-    parts = F.transform(F.split(text, r"[ \t\n\r]+"), lambda w: F.regexp_replace(w, strip, ""))
-    return F.filter(parts, lambda w: F.length(w) >= min_length)
+def words(text: Column, min_length: int = 1, marks: str = ",.;") -> Column:
+    """Words between white space, one trailing mark stripped, then those of ``min_length`` and more.
+
+    Marks go in one pass over the text, not word by word.
+    """
+    bare = F.regexp_replace(text, rf"[{re.escape(marks)}](?=[ \t\n\r]|\z)", "")
+    return F.filter(F.split(bare, r"[ \t\n\r]+"), lambda w: F.length(w) >= min_length)
 
 
 def word_count(df: DataFrame, text: str = "text", min_length: int = 1) -> DataFrame:
@@ -51,12 +56,16 @@ def kmers(df: DataFrame, sequence: str, k: int) -> DataFrame:
 def relative_frequency(df: DataFrame, tokens: Column, window: int = 2) -> DataFrame:
     """(word, neighbour, n, total, frequency): pairs at most ``window`` positions apart over the word's sum of pairs."""
     near = df.select(tokens.alias("t")).where(F.size("t") >= 2)
-    both = lambda x, y: F.array(F.struct(x.alias("word"), y.alias("neighbour")), F.struct(y.alias("word"), x.alias("neighbour")))
+    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     # the text against itself, moved by 1 .. window words: no row carries the whole text along
     length = lambda d: F.greatest(F.size("t") - d, F.lit(0))
-    moved = F.concat(*(F.zip_with(F.slice("t", 1, length(d)), F.slice("t", 1 + d, length(d)), both) for d in range(1, window + 1)))
-    pairs = near.select(F.explode(F.flatten(moved)).alias("p")).select("p.word", "p.neighbour")
-    counts = pairs.groupBy("word", "neighbour").agg(F.count("*").alias("n"))
+    moved = F.concat(*(F.zip_with(F.slice("t", 1, length(d)), F.slice("t", 1 + d, length(d)), pair) for d in range(1, window + 1)))
+    pairs = near.select(F.explode(moved).alias("p")).select("p.a", "p.b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    # counted without direction, which halves rows and shuffle; both directions have the same count
+    way = lambda x, y, n: F.struct(F.col(x).alias("word"), F.col(y).alias("neighbour"), n.alias("n"))
+    n = F.col("n")
+    ways = F.when(F.col("a") == F.col("b"), F.array(way("a", "b", n * 2))).otherwise(F.array(way("a", "b", n), way("b", "a", n)))
+    counts = pairs.select(F.explode(ways).alias("w")).select("w.*")
     total = F.sum("n").over(Window.partitionBy("word"))
     return counts.withColumn("total", total).withColumn("frequency", F.col("n") / F.col("total"))
 

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from lodestone import functions as fn
+from lodestone import sources
 from lodestone.operators import agg, joins, order
 from lodestone.plans.registry import query
 from lodestone.streaming import sessions, windowed_counts
@@ -296,3 +298,40 @@ s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNB
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, s""")
 def session_window_extension(t):
     return sessions(t("events"), "ts", "user_id", "30 minutes").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+_HASH = "list_reduce(list_prepend(1125899906842597::HUGEINT, list_transform(regexp_extract_all(p_name, '(?s).'), lambda c: unicode(c)::HUGEINT)), lambda h, c: (h * 31 + c) % 18446744073709551616)"
+
+
+@query(f"SELECT p_partkey, h, abs(h % 10) AS bucket FROM (SELECT p_partkey, (CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END)::BIGINT AS h FROM (SELECT p_partkey, {_HASH} AS u FROM part))")
+def hash_partition(t):
+    return t("part").select("p_partkey", fn.polynomial_hash("p_name").alias("h")).withColumn("bucket", fn.bucket(F.col("h"), 10))
+
+
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(f"SELECT o_orderkey, (CASE WHEN list_contains({_PRIORITIES}, o_orderpriority) THEN list_position({_PRIORITIES}, o_orderpriority) - 1 END)::BIGINT AS code FROM orders")
+def category_codes(t):
+    return t("orders").select("o_orderkey", fn.category_code("o_orderpriority", _PRIORITIES).cast("long").alias("code"))
+
+
+_RANGE = "SELECT c_name, c_mktsegment FROM customer WHERE c_acctbal >= 0 AND c_acctbal <= 5000"
+
+
+@query(_RANGE)
+def sql_range_filter(t):
+    return sources.sql(_RANGE, customer=t("customer"))
+
+
+_LOCATIONS = "SELECT o_orderpriority, count(DISTINCT c_nationkey) AS locations FROM orders LEFT OUTER JOIN customer ON o_custkey = c_custkey GROUP BY o_orderpriority"
+
+
+@query(_LOCATIONS)
+def sql_left_outer_join(t):
+    return sources.sql(_LOCATIONS, orders=t("orders"), customer=t("customer"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def sql_nested_field(t):
+    return sources.sql("SELECT event_id, p.k FROM (SELECT event_id, from_json(props, 'k BIGINT') AS p FROM events)", events=t("events"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,10 +41,39 @@ def fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(name, seq, plus, qual) by fours of lines; a file is one record here, so files should be of moderate size."""
-    whole = spark.read.text(paths, wholetext=True).select(F.filter(F.split("value", r"\r?\n"), lambda x: x != "").alias("l"))
-    fours = whole.where(F.size("l") >= 4).select("l", F.explode(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1)).alias("i"))
-    return fours.select(*(F.get("l", F.col("i") * 4 + j).alias(n) for j, n in enumerate(("name", "seq", "plus", "qual"))))
+    """(name, seq, plus, qual) records of four lines, splittable at ``@`` after a line's end.
+
+    A quality line that itself begins with ``@`` is cut off its record there. Records without one and such lines
+    alternate within a file, so ordering just these by place pairs them again; whole records are not shuffled.
+    Blank lines are skipped.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")]
+    cut = spark.read.text(paths, lineSep="\n@").select("value", *place)
+    lines_ = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    cut = cut.select(F.transform(lines_, lambda x: F.regexp_replace(x, r"\r\z", "")).alias("l"), "file", "block", "id")
+    order = Window.partitionBy("file").orderBy("block", "id")
+    loose = cut.where(F.size("l") < 4).withColumn("next", F.lead("l").over(order))
+    cut_off = F.concat(F.lit("@"), F.coalesce(F.get("next", F.lit(0)), F.lit("")))
+    mended = loose.where((F.size("l") == 3) & (F.size("next") <= 1)).select(F.concat("l", F.array(cut_off)).alias("l"))
+    whole = cut.where(F.size("l") == 4).select("l").unionByName(mended)
+    named = F.concat(F.lit("@"), F.regexp_replace(F.get("l", F.lit(0)), "^@", ""))
+    return whole.select(named.alias("name"), *(F.get("l", F.lit(j)).alias(n) for j, n in enumerate(("seq", "plus", "qual"), 1)))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, over at least as many partitions as there are cores, for costly work on each row.
+
+    Only a table of few files is dealt out; one with partitions enough stays as it is, without a shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table._jdf.queryExecution().toRdd().getNumPartitions() >= cores else table.repartition(cores)
+
+
+def sql(text: str, **tables: DataFrame) -> DataFrame:
+    """The result of a SQL text over DataFrames, each a temporary view of the name given."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return next(iter(tables.values())).sparkSession.sql(text)
 
 
 def json_rows(spark: SparkSession, paths: str | list[str], schema: str | None = None) -> DataFrame:

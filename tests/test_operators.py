@@ -171,6 +171,60 @@ def test_sequences(spark, tmp_path):
     assert [tuple(p) for p in posts.postings] == [(1, "d2"), (2, "d1")]
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_fastq_over_splits(spark, tmp_path, end):
+    r = random.Random(3)
+    reads = []
+    for i in range(3000):
+        n = r.randrange(1, 40)
+        reads.append((f"@r{i}", "".join(r.choices("ACGT", k=n)), "+", "".join(r.choices("@I;", k=n))))
+    (tmp_path / "a.fq").write_bytes(end.join([*map(end.join, reads[:2000]), ""]).encode())
+    (tmp_path / "b.fq").write_bytes(end.join(map(end.join, reads[2000:])).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        got = sources.fastq(spark, [str(tmp_path / "a.fq"), str(tmp_path / "b.fq")])
+        assert spark.read.text(str(tmp_path / "a.fq")).rdd.getNumPartitions() > 4
+        assert rows(got, "name", "seq", "plus", "qual") == sorted(reads)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_codes_and_hashes(spark):
+    def expected(word):
+        h = 1125899906842597
+        for c in word:
+            h = (31 * h + ord(c)) % 2**64
+        return h - 2**64 if h >= 2**63 else h
+
+    words = ["", "a", "spark", "\u00e4rger", "x" * 300, None]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = df.select("w", fn.polynomial_hash("w").alias("h"), fn.category_code("w", ["spark", "a"]).alias("c")).collect()
+    assert {r.w: r.h for r in got} == {w: None if w is None else expected(w) for w in words}
+    assert {r.w: r.c for r in got} == {w: {"spark": 0, "a": 1}.get(w) for w in words}
+    assert spark.range(1).select(fn.bucket(F.lit(-13), 10)).first()[0] == 3
+
+
+def test_spread_leaves_large_tables(spark, tmp_path):
+    spark.range(8).repartition(8).write.parquet(str(tmp_path / "many"))
+    spark.range(8).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.conf.set("spark.sql.files.openCostInBytes", 128 << 20)
+    try:
+        assert "Exchange" not in plan(sources.spread(spark.read.parquet(str(tmp_path / "many"))))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sources.spread(spark.read.parquet(str(tmp_path / "one"))).count() == 8
+
+
+def test_share_of_group_keeps_null_groups(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0)], "g string, v double")
+    assert {(r.g, r.v): r.share for r in joins.share_of_group(df, "g", "v").collect()} == {("a", 1.0): 0.25, ("a", 3.0): 0.75, (None, 5.0): 1.0}
+
+
+def test_sql_views(spark):
+    out = sources.sql("SELECT a.k, b.v FROM a LEFT JOIN b USING (k)", a=spark.createDataFrame([(1,), (2,)], "k int"), b=spark.createDataFrame([(1, "x")], "k int, v string"))
+    assert sorted(map(tuple, out.collect())) == [(1, "x"), (2, None)]
+
+
 def test_aggregates(spark):
     df = spark.createDataFrame([("zebra", 1.0), ("zebra", 2.0), ("zebra", 9.0), ("pandas", 3.0), ("pandas", 17.0), ("duck", 2.0), ("duck", 8.0), ("duck", 4.0), ("duck", 6.0)], "k string, v double")
     assert rows(agg.mean_by_key(df, "k", "v"), "k", "mean") == [("duck", 5.0), ("pandas", 10.0), ("zebra", 4.0)]
