@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, then Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds join passages to test items, then Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,57 +66,85 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> list[tuple[int, int,
 
 
 class Items:
-    """Test items with their rare seeds: n-grams shared by at most ``rare`` items, all of an item that has none."""
+    """Test items with their seeds: all n-grams of an item."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int, rare: int):
+    def __init__(self, items: list[tuple[int, str]], n: int):
         known = PlainWords()
-        self.n, self.ids, self.words = n, [], []
+        self.ids, self.words = [], []
         for item, text in items:
             h, _ = plain(known, text)
             if len(h) >= n:
                 self.ids.append(item)
                 self.words.append(h)
-        grams = [np.unique(Rolling(h).windows(n)) for h in self.words]
-        every, counts = np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, U64), np.zeros(0, int))
-        owners = defaultdict(list)
-        for i, g in enumerate(grams):
-            few = g[counts[np.searchsorted(every, g)] <= rare]
-            for x in (few if len(few) else g).tolist():
-                owners[x].append(i)
-        self.seeds = np.array(sorted(owners), U64)
-        self.owners = [owners[x] for x in self.seeds.tolist()]
-        self.bags = [Counter(h.tolist()) for h in self.words]
+        self.sizes = np.array([len(h) for h in self.words], np.int64)
+        self.widths = sorted(set(np.minimum(self.sizes, n).tolist()))
+        grams = [np.unique(Rolling(h).windows(min(n, len(h)))) for h in self.words]
+        # seeds, items of each seed and seeds of each item; words, and the words of each item with their numbers
+        self.seeds, of_item = np.unique(np.concatenate([np.zeros(0, U64), *grams]), return_inverse=True)
+        self.seeds_of = np.split(of_item, np.cumsum([len(g) for g in grams])[:-1]) if grams else []
+        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        self.owners = owner[np.argsort(of_item, kind="stable")]
+        self.owners_at = np.concatenate([[0], np.cumsum(np.bincount(of_item, minlength=len(self.seeds)))])
+        bags = [np.unique(h, return_counts=True) for h in self.words]
+        self.vocabulary, self.bag = np.unique(np.concatenate([np.zeros(0, U64), *(w for w, _ in bags)]), return_inverse=True)
+        self.times = np.concatenate([np.zeros(0, np.int64), *(m for _, m in bags)])
+        self.bag_at = np.concatenate([[0], np.cumsum([len(w) for w, _ in bags], dtype=np.int64)])
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.seeds >> U64(44)).astype(np.int64)] = True
 
+    def _hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in the passage at which a seed begins, and the seeds."""
+        rolling, found = Rolling(h), []
+        for width in self.widths:
+            if len(h) >= width:
+                grams = rolling.windows(width)
+                likely = np.flatnonzero(self.maybe[(grams >> U64(44)).astype(np.int64)])
+                slot = np.searchsorted(self.seeds, grams[likely])
+                slot[slot == len(self.seeds)] = 0
+                sure = self.seeds[slot] == grams[likely]
+                found.append((likely[sure], slot[sure]))
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.int64),) * 2
+
     def regions(self, h: np.ndarray, threshold: float) -> dict[int, list[tuple[int, int]]]:
         """For each item seeded in the passage the regions to align, merged where they overlap.
 
-        A region with too few of the item's words for the threshold, even if all aligned, is left out.
+        An item, and then a region, with too few of the item's words for the threshold, even if all aligned, is left
+        out. The words are looked up for all items of a seed together, so a seed that many items share costs little.
         """
-        if len(h) < self.n or not len(self.seeds):
+        hits, slots = self._hits(h)
+        if not len(hits):
             return {}
-        grams = Rolling(h).windows(self.n)
-        likely = np.flatnonzero(self.maybe[(grams >> U64(44)).astype(np.int64)])
-        slot = np.searchsorted(self.seeds, grams[likely])
-        slot[slot == len(self.seeds)] = 0
-        sure = self.seeds[slot] == grams[likely]
-        found: dict[int, list[list[int]]] = defaultdict(list)
-        for at, x in zip(likely[sure].tolist(), slot[sure].tolist(), strict=True):
-            for i in self.owners[x]:
-                reach = 2 * len(self.words[i])
+        seeded = np.unique(np.concatenate([self.owners[self.owners_at[x] : self.owners_at[x + 1]] for x in np.unique(slots).tolist()]))
+        ids = np.searchsorted(self.vocabulary, h)
+        ids[ids == len(self.vocabulary)] = 0
+        ids[self.vocabulary[ids] != h] = len(self.vocabulary)
+        there = np.zeros(len(self.vocabulary) + 1, bool)
+        there[ids] = True
+        there[-1] = False
+        kept = {}
+        for k in range(0, len(seeded), 4096):
+            part = seeded[k : k + 4096]
+            size = self.bag_at[part + 1] - self.bag_at[part]
+            begin = np.cumsum(size) - size
+            at = np.repeat(self.bag_at[part] - begin, size) + np.arange(size.sum())
+            for i in part[np.add.reduceat(self.times[at] * there[self.bag[at]], begin) >= threshold * self.sizes[part]].tolist():
+                kept[i] = []
+        there[:] = False
+        for i in list(kept):
+            reach, found = 2 * len(self.words[i]), []
+            for at in np.sort(hits[np.isin(slots, self.seeds_of[i])]).tolist():
                 a, b = max(0, at - reach), min(len(h), at + reach)
-                if found[i] and a <= found[i][-1][1] and b - found[i][-1][0] <= 4096:
-                    found[i][-1][1] = b
+                if found and a <= found[-1][1] and b - found[-1][0] <= 4096:
+                    found[-1][1] = b
                 else:
-                    found[i].append([a, b])
-        kept = {}
-        for i, regions in found.items():
-            for a, b in regions:
-                there = set(h[a:b].tolist())
-                if sum(m for w, m in self.bags[i].items() if w in there) >= threshold * len(self.words[i]):
-                    kept.setdefault(i, []).append((a, b))
-        return kept
+                    found.append([a, b])
+            mine = slice(self.bag_at[i], self.bag_at[i + 1])
+            for a, b in found:
+                there[ids[a:b]] = True
+                if self.times[mine] @ there[self.bag[mine]] >= threshold * len(self.words[i]):
+                    kept[i].append((a, b))
+                there[ids[a:b]] = False
+        return {i: found for i, found in kept.items() if found}
 
 
 def _search(shared, threshold: float):
@@ -144,7 +172,7 @@ def _search(shared, threshold: float):
     return run
 
 
-def item_blocks(benchmark: DataFrame, n: int = 3, rare: int = 4) -> Iterator[Broadcast]:
+def item_blocks(benchmark: DataFrame, n: int = 3) -> Iterator[Broadcast]:
     """The benchmark's items in blocks of about 32 MB at most, each sent to the workers."""
     small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
@@ -152,7 +180,7 @@ def item_blocks(benchmark: DataFrame, n: int = 3, rare: int = 4) -> Iterator[Bro
     blocks = size // MOST_ITEM_BYTES + 1
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
-        yield benchmark.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in part.orderBy("item_id", "text").collect()], n, rare))
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in part.orderBy("item_id", "text").collect()], n))
 
 
 def _leaky(shared: Broadcast, threshold: float):
@@ -172,13 +200,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     return docs
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: int = 4, threshold: float = 0.5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     """Passages that copy a test item: doc_id, item_id, score, begin, end (word positions, end exclusive).
 
-    A document meets an item through an n-gram of the item that at most ``rare`` items share (any n-gram for items
-    without one), however common it is in the corpus, and the surroundings are aligned with the whole item. score is
-    the alignment's score over that of a perfect copy; rows reach ``threshold``. Words compare in lower case without
-    punctuation at their ends.
+    A document meets an item through any n-gram of the item, however many items share it and however common it is in
+    the corpus, and the surroundings are aligned with the whole item. score is the alignment's score over that of a perfect copy; rows reach ``threshold``. Words compare
+    in lower case without punctuation at their ends.
 
     Null or empty texts match nothing, and so do items under ``n`` words. Whole texts are searched. Repeated
     documents each give their rows; equal items each give theirs. Empty tables give an empty result. Items travel to
@@ -187,7 +214,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: int = 4,
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     schema = "doc_id long, item_id long, score double, begin long, end long"
     out = None
-    for shared in item_blocks(benchmark, n, rare):
+    for shared in item_blocks(benchmark, n):
         found = docs.mapInArrow(_search(shared, threshold), schema)
         out = found if out is None else out.unionByName(found)
     return out

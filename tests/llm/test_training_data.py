@@ -351,6 +351,19 @@ def test_decontamination(spark):
     assert decontaminate.judge_documents(df.where("false"), bench).count() == 0
 
 
+def test_decontamination_common_passage(spark):
+    """Six items over one passage: a document with the passage alone reaches the threshold of each."""
+    passage = [f"p{i}" for i in range(40)]
+    items = [(i, " ".join([*passage, *(f"q{i}x{k}" for k in range(8))])) for i in range(6)]
+    variants = [(10 + i, " ".join([*(f"v{k}" for k in range(15)), f"only{i}", *(f"v{k}" for k in range(15, 30))])) for i in range(6)]
+    noise = [f"n{i}" for i in range(60)]
+    docs = [(1, " ".join([*noise, *passage, *noise])), (2, " ".join([*noise, *(f"v{k}" for k in range(15)), "edited", *(f"v{k}" for k in range(15, 30))])), (3, " ".join([*noise, *passage[:4]]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items + variants, "item_id long, text string")
+    got = {x.doc_id: x.item_ids for x in decontaminate.judge_documents(df, bench).collect()}
+    assert got == {1: list(range(6)), 2: list(range(10, 16)), 3: []}
+
+
 def test_source_mixing(spark):
     weights = {"a": 5, "b": 3, "c": 1}
     rows = [(i, "a" if i % 3 else "bcd"[i // 3 % 3]) for i in range(3000)] + [(7, "a"), (None, None), (9, None)]
