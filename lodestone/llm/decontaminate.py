@@ -66,14 +66,14 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> list[tuple[int, int,
 
 
 class Items:
-    """Test items with their seeds: all n-grams of an item."""
+    """Test items with their seeds: all n-grams of an item, the whole item where it has fewer than n words."""
 
     def __init__(self, items: list[tuple[int, str]], n: int):
         known = PlainWords()
         self.ids, self.words = [], []
         for item, text in items:
             h, _ = plain(known, text)
-            if len(h) >= n:
+            if len(h):
                 self.ids.append(item)
                 self.words.append(h)
         self.sizes = np.array([len(h) for h in self.words], np.int64)
@@ -204,10 +204,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
     """Passages that copy a test item: doc_id, item_id, score, begin, end (word positions, end exclusive).
 
     A document meets an item through any n-gram of the item, however many items share it and however common it is in
-    the corpus, and the surroundings are aligned with the whole item. score is the alignment's score over that of a perfect copy; rows reach ``threshold``. Words compare
+    the corpus, and the surroundings are aligned with the whole item; an item under ``n`` words is met through all its
+    words in a row. score is the alignment's score over that of a perfect copy; rows reach ``threshold``. Words compare
     in lower case without punctuation at their ends.
 
-    Null or empty texts match nothing, and so do items under ``n`` words. Whole texts are searched. Repeated
+    Null or empty texts match nothing, and so do items without a word. Whole texts are searched. Repeated
     documents each give their rows; equal items each give theirs. Empty tables give an empty result. Items travel to
     the workers in blocks of at most 32 MB, a pass over the documents for each block.
     """

@@ -364,6 +364,13 @@ def test_decontamination_common_passage(spark):
     assert got == {1: list(range(6)), 2: list(range(10, 16)), 3: []}
 
 
+def test_decontamination_short_items(spark):
+    docs = [(1, "a b Naked singularity! c"), (2, "naked c singularity"), (3, "x \u6f22\u5b57\u6587 y")]
+    bench = spark.createDataFrame([(1, "naked singularity"), (2, "\u6f22\u5b57\u6587"), (3, "..."), (4, "a b Naked singularity")], "item_id long, text string")
+    got = {x.doc_id: x.item_ids for x in decontaminate.judge_documents(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1: [1, 4], 2: [], 3: [2]}
+
+
 def test_source_mixing(spark):
     weights = {"a": 5, "b": 3, "c": 1}
     rows = [(i, "a" if i % 3 else "bcd"[i // 3 % 3]) for i in range(3000)] + [(7, "a"), (None, None), (9, None)]
