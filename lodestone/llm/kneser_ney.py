@@ -1,9 +1,9 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted hash arrays.
+"""LM scoring: an interpolated modified Kneser-Ney model of any order, counted in Spark, stored as sorted hash arrays.
 
-Pair counts are merged by ranges of the pair's hash; every range becomes one pair of sorted arrays (hashes, counts) in the
-shared folder, and word statistics likewise. Scoring workers memory-map those files, so neither driver nor workers
-hold the model; what is in memory is pages that lookups touch. The order is two: trigram arrays would outgrow the
-input several times.
+Counts of the longest n-grams are merged by ranges of the n-gram's hash; each range gives its part of the counts of the
+n-grams one word shorter, which are merged alike, down to words. Every range becomes sorted arrays (hashes, counts, sums
+over the words that follow) in the shared folder. Scoring workers memory-map those files, so neither driver nor workers
+hold the model; what is in memory is pages that lookups touch. Nothing is pruned.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import U64, WordHashes, mix, rows, scratch, small_batches
 
-START, END = U64(0x5354415254), U64(0x454E44)
+#: A text begins with one START; PAD fills up n-grams that would begin before it.
+START, END, PAD = U64(0x5354415254), U64(0x454E44), U64(0x504144)
 PAIRS_PER_SHARD = 3_000_000
 _TOKENS_PER_CHAR = 1 / 6
 
@@ -95,8 +96,9 @@ def steps(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=U64(0))
 
 
-#: Columns of the word table: count as token, left neighbours, followers seen once, twice, more often.
-WORD_COLUMNS = ("count", "left", "one", "two", "more")
+#: Numbers of an n-gram below the highest order: its count for smoothing (different words before it; as it occurs where a
+#: text begins with it), its count as it occurs, the sum of the smoothing counts of its followers, followers of 1, 2 and more.
+NUMBERS = 6
 
 
 def tokens(known: WordHashes, text: str | None) -> np.ndarray:
@@ -104,15 +106,27 @@ def tokens(known: WordHashes, text: str | None) -> np.ndarray:
     return np.append(known.array(text.encode("utf-8", "surrogatepass").lower().split() if text else []), END)
 
 
-def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix(left * U64(0x9E3779B97F4A7C15) + mix(right))
+def columns_of(t: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each token the n-gram that ends with it, a column for each place."""
+    padded = np.concatenate([np.full(order - 2, PAD), [START], t])
+    return [padded[i : i + len(t)] for i in range(order)]
 
 
-def _summed(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
+    """One hash for each n-gram; a word is its own."""
+    key = columns[0]
+    for c in columns[1:]:
+        key = mix(key * U64(0x9E3779B97F4A7C15) + mix(c))
+    return key
+
+
+def _summed(columns: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Sorted keys of the different n-grams, their words and their summed numbers."""
+    keys = gram_keys(columns)
     order = np.argsort(keys)
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    return keys[starts], [np.add.reduceat(c[order], starts) if len(keys) else c for c in columns]
+    return keys[starts], [c[order[starts]] for c in columns], [np.add.reduceat(x[order], starts) if len(keys) else x for x in numbers]
 
 
 def _cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
@@ -125,94 +139,98 @@ def _blobs(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["shard", "blob"])
 
 
-def _count_pairs(bits: int, most: int = 2_000_000):
-    """Pairs of neighbours, counted per some million tokens, cut by shard: the shard's words, pairs of them, counts."""
-
-    def flush(left, right):
-        left, right = np.concatenate(left), np.concatenate(right)
-        keys = pair_keys(left, right)
-        order = np.argsort(keys)
-        keys = keys[order]
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        counts = np.diff(np.append(starts, len(keys)))
-        keys, order = keys[starts], order[starts]
-        left, right = left[order], right[order]
-        out = []
-        for s, a, b in _cuts(keys, bits):
-            words, at = np.unique(np.concatenate([left[a:b], right[a:b]]), return_inverse=True)
-            l, r = at[: b - a], at[b - a :]
-            by_left = np.lexsort((r, l))
-            out.append((s, pack(steps(words), small(l[by_left]), small(r[by_left]), small(counts[a:b][by_left]))))
-        return _blobs(out)
+def _packed(keys: np.ndarray, columns: list[np.ndarray], numbers: list[np.ndarray], tally: np.ndarray, bits: int) -> pa.RecordBatch:
+    """N-grams cut by shard: the shard's words, n-grams of them, numbers; the tally goes with the first shard."""
+    out = []
+    for i, (s, a, b) in enumerate(_cuts(keys, bits)):
+        words, at = np.unique(np.concatenate([c[a:b] for c in columns]), return_inverse=True)
+        at = at.reshape(len(columns), b - a)
+        order = np.lexsort(at[::-1])
+        out.append((s, pack(steps(words), *(small(x[order]) for x in at), *(small(x[a:b][order]) for x in numbers), tally if i == 0 else tally[:0])))
+    return _blobs(out)
+
+
+def _unpacked(blobs, n: int, numbers: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Columns and numbers of n-grams from all blobs, and the blobs' tallies."""
+    columns, sums, tallies = [], [], []
+    for blob in blobs:
+        words, *rest = unpack(blob.as_py(), (U64, *[np.int64] * (n + numbers + 1)))
+        words = np.cumsum(words, dtype=U64)
+        columns.append([words[x] for x in rest[:n]])
+        sums.append(rest[n:-1])
+        tallies.append(rest[-1])
+    return [np.concatenate(x) for x in zip(*columns, strict=True)], [np.concatenate(x) for x in zip(*sums, strict=True)], tallies
+
+
+def _count_grams(order: int, bits: int, most: int = 2_000_000):
+    """N-grams of the highest order, counted per some million tokens, cut by shard."""
+
+    def flush(held):
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        return _packed(*_summed(columns, [np.ones(len(columns[0]), np.int64)]), np.zeros(0, np.int64), bits)
 
     def run(batches):
-        known, left, right, n = WordHashes(), [], [], 0
+        known, held, n = WordHashes(), [], 0
         for batch in rows(batches):
             for text in batch.column(0):
                 t = tokens(known, text.as_py())
-                left.append(np.concatenate([[START], t[:-1]]))
-                right.append(t)
+                held.append(columns_of(t, order))
                 n += len(t)
                 if n >= most:
-                    yield flush(left, right)
-                    left, right, n = [], [], 0
+                    yield flush(held)
+                    held, n = [], 0
         if n:
-            yield flush(left, right)
+            yield flush(held)
 
     return run
 
 
-def _merge_pairs(store: Store, bits: int):
-    """Writes a shard's sorted arrays; gives the shard's part of the word statistics, cut by word shard."""
+def _merge_grams(store: Store, n: int, order: int, bits: int):
+    """Writes a shard's sorted arrays of n-grams; gives the shard's part of the numbers one order below, cut by shard."""
 
     def run(key, table):
         shard = key[0].as_py()
-        found = []
-        for blob in table.column("blob"):
-            words, l, r, c = unpack(blob.as_py(), (U64, np.int64, np.int64, np.int64))
-            words = np.cumsum(words, dtype=U64)
-            found.append((words[l], words[r], c))
-        left, right, c = map(np.concatenate, zip(*found, strict=True))
-        del table, found
-        keys = pair_keys(left, right)
-        order = np.argsort(keys)
-        keys = keys[order]
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        c = np.add.reduceat(c[order], starts)
-        keys, left, right = keys[starts], left[order[starts]], right[order[starts]]
-        del order
-        store.write(f"pair-{shard:06d}.key", keys)
-        store.write(f"pair-{shard:06d}.count", np.minimum(c, np.iinfo(np.uint32).max).astype(np.uint32))
+        columns, numbers, tallies = _unpacked(table.column("blob"), n, 1 if n == order else NUMBERS)
+        del table
+        keys, columns, numbers = _summed(columns, numbers)
+        real = columns[0] != PAD
+        count, occurs = numbers[0], numbers[0] if n == order else numbers[1]
+        top = np.iinfo(np.uint32).max
+        store.write(f"gram{n}-{shard:06d}.key", keys[real])
+        store.write(f"gram{n}-{shard:06d}.count", np.minimum(count[real], top).astype(np.uint32))
+        if n < order:
+            store.write(f"gram{n}-{shard:06d}.stats", np.minimum(np.stack([x[real] for x in numbers[2:]], axis=1), top).astype(np.uint32))
+        del keys, numbers
+        c = count[real]
         tally = np.array([(c == i).sum() for i in (1, 2, 3, 4)] + [len(c)], np.int64)
-        zero, one = np.zeros(len(c), np.int64), np.ones(len(c), np.int64)
-        by_right, right_sums = _summed(right, [c, one])
-        by_left, left_sums = _summed(left, [(c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)])
-        nr, nl = len(by_right), len(by_left)
-        words, sums = _summed(np.concatenate([by_right, by_left]), [
-            *(np.concatenate([x, zero[:nl]]) for x in right_sums), *(np.concatenate([zero[:nr], x]) for x in left_sums)
-        ])
-        return pa.Table.from_batches([_blobs([
-            (s, pack(steps(words[a:b]), *(small(x[a:b]) for x in sums), tally if i == 0 else tally[:0])) for i, (s, a, b) in enumerate(_cuts(words, bits))
-        ])])
+        before = [t for t in tallies if len(t)]
+        tally = np.concatenate([np.sum(before, axis=0) if before else np.zeros(5 * (order - n), np.int64), tally])
+        # as the end of n-grams and, after it, as their beginning
+        end, begin = np.zeros(len(count), np.int64), np.zeros(len(c), np.int64)
+        numbers = [np.where(real, 1, occurs), occurs, end, end, end, end], [begin, begin, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)]
+        ends, begins = _summed(columns[1:], numbers[0]), _summed([x[real] for x in columns[:-1]], numbers[1])
+        del columns, numbers, count, occurs, c
+        keys, columns, numbers = _summed(*([np.concatenate(x) for x in zip(ends[i], begins[i], strict=True)] for i in (1, 2)))
+        return pa.Table.from_batches([_packed(keys, columns, numbers, tally, bits)])
 
     return run
 
 
-def _merge_words(store: Store):
+def _merge_words(store: Store, order: int):
     """Writes a shard's sorted words and their numbers; gives its sums for the model's global numbers."""
 
     def run(key, table):
         shard = key[0].as_py()
-        found = [unpack(x.as_py(), (U64, *[np.int64] * 6)) for x in table.column("blob")]
-        words = np.concatenate([np.cumsum(f[0], dtype=U64) for f in found])
-        words, sums = _summed(words, [np.concatenate([f[i] for f in found]) for i in range(1, 6)])
+        columns, numbers, tallies = _unpacked(table.column("blob"), 1, NUMBERS)
+        words, _, (left, count, *stats) = _summed(columns, numbers)
         store.write(f"word-{shard:06d}.key", words)
-        store.write(f"word-{shard:06d}.count", sums[0])
-        store.write(f"word-{shard:06d}.stats", np.minimum(np.stack(sums[1:], axis=1), np.iinfo(np.uint32).max).astype(np.uint32))
-        tally = np.concatenate([f[6] for f in found]).reshape(-1, 5).sum(axis=0)
-        left = sums[1]
-        numbers = [int(sums[0].sum()), int((sums[0] > 0).sum()), *((int((left == i).sum())) for i in (1, 2, 3, 4)), int(left.sum()), int((left > 2).sum()), *map(int, tally)]
-        return pa.Table.from_arrays([pa.array([x], pa.int64()) for x in numbers], [f"s{i}" for i in range(len(numbers))])
+        store.write(f"word-{shard:06d}.count", count)
+        store.write(f"word-{shard:06d}.left", left)
+        store.write(f"word-{shard:06d}.stats", np.stack(stats, axis=1))
+        before = [t for t in tallies if len(t)]
+        tally = np.sum(before, axis=0) if before else np.zeros(5 * (order - 1), np.int64)
+        sums = [int(count.sum()), int((count > 0).sum()), *((int((left == i).sum())) for i in (1, 2, 3, 4)), int(left.sum()), int((left > 2).sum()), *map(int, tally)]
+        return pa.Table.from_arrays([pa.array([x], pa.int64()) for x in sums], [f"s{i}" for i in range(len(sums))])
 
     return run
 
@@ -233,10 +251,10 @@ class KneserNey:
     bits: int
     tokens: int
     vocabulary: int
-    pair_discounts: tuple
+    order: int
+    gram_discounts: dict
     word_discounts: tuple
     pair_types: int
-    texts: int
     leftover: float
     _maps: dict = field(default_factory=dict, repr=False)
 
@@ -267,49 +285,54 @@ class KneserNey:
         """For each token sequence: number of tokens, known tokens, add-0.1 unigram and model log10 probabilities."""
         sizes = np.array([len(s) for s in sequences])
         starts = np.cumsum(sizes) - sizes
-        right = np.concatenate(sequences)
-        left = np.empty_like(right)
-        left[1:] = right[:-1]
-        left[starts] = START
-        words, inverse = np.unique(np.append(right, START), return_inverse=True)
+        columns = [np.concatenate(c) for c in zip(*(columns_of(s, self.order) for s in sequences), strict=True)]
+        words, inverse = np.unique(np.concatenate(columns[-2:]), return_inverse=True)
+        before, inverse = inverse[: len(columns[0])], inverse[len(columns[0]) :]
         seen = self._find("word", words, "count", "int64", 1)[:, 0]
-        stats = self._find("word", words, "stats", "uint32", len(WORD_COLUMNS) - 1)
-        inverse, start = inverse[:-1], inverse[-1]
-        before = np.empty_like(inverse)
-        before[1:] = inverse[:-1]
-        before[starts] = start
-        pairs, pair_at = np.unique(pair_keys(left, right), return_inverse=True)
-        count = self._find("pair", pairs, "count", "uint32", 1)[:, 0]
+        left = self._find("word", words, "left", "int64", 1)[:, 0]
         base = np.log10((seen + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1)))
         uniform = 1.0 / (self.vocabulary + 1)
         d = np.array([0.0, *self.word_discounts])
-        types = max(self.pair_types, 1)
-        lower = np.maximum(stats[:, 0] - d[np.minimum(stats[:, 0], 3)], 0) / types + self.leftover * uniform
-        d = np.array([0.0, *self.pair_discounts])
-        # every token but the end is once the context of a token; the start is one once a text
-        total = np.where(words == START, self.texts, seen)
-        back = np.where(total > 0, (stats[:, 1:] @ d[1:]) / np.maximum(total, 1), 1.0)
-        total = np.maximum(total, 1)
-        held = np.maximum(count - d[np.minimum(count, 3)], 0)
-        p = held[pair_at] / total[before] + back[before] * lower[inverse]
+        p = (np.maximum(left - d[np.minimum(left, 3)], 0) / max(self.pair_types, 1) + self.leftover * uniform)[inverse]
+        stats, at = self._find("word", words, "stats", "int64", 4), before
+        for n in range(2, self.order + 1):
+            d = np.array([0.0, *self.gram_discounts[n]])
+            total = stats[:, 0]
+            back = np.where(total > 0, (stats[:, 1:] @ d[1:]) / np.maximum(total, 1), 1.0)
+            keys, gram_at = np.unique(gram_keys(columns[-n:]), return_inverse=True)
+            count = self._find(f"gram{n}", keys, "count", "uint32", 1)[:, 0]
+            held = np.maximum(count - d[np.minimum(count, 3)], 0)
+            p = held[gram_at] / np.maximum(total, 1)[at] + back[at] * p
+            if n < self.order:
+                keys, at = np.unique(gram_keys(columns[-n - 1 : -1]), return_inverse=True)
+                stats = self._find(f"gram{n}", keys, "stats", "uint32", 4)
         return sizes, np.add.reduceat((seen > 0)[inverse].astype(np.int64), starts), np.add.reduceat(base[inverse], starts), np.add.reduceat(np.log10(p), starts)
 
 
-def train(docs: DataFrame, wanted: Column | None = None) -> KneserNey:
-    """Count all rows of ``docs`` where ``wanted`` holds (null texts are empty ones) and write the model's arrays."""
+def train(docs: DataFrame, wanted: Column | None = None, order: int = 2) -> KneserNey:
+    """Count all rows of ``docs`` where ``wanted`` holds (null texts are empty ones) and write the model's arrays.
+
+    ``order`` is the length of the longest n-grams, 2 or more. N-grams at the beginning of a text count as they occur
+    at every order, since nothing but the beginning comes before them.
+    """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
     small_batches(spark)
     texts = (docs if wanted is None else docs.where(wanted)).select(F.col("text").cast("string").alias("text"))
-    texts_read, chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    bits = max(3, int(np.ceil(np.log2(max(1, chars * _TOKENS_PER_CHAR / PAIRS_PER_SHARD)))))
+    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    bits = max(3, int(np.ceil(np.log2(max(1, chars * _TOKENS_PER_CHAR * (order - 1) ** 2 / PAIRS_PER_SHARD)))))
     store = Store(f"{scratch(spark)}/kneser-ney-{uuid.uuid4().hex}")
-    pairs = texts.mapInArrow(_count_pairs(bits), "shard int, blob binary")
-    parts = pairs.groupBy("shard").applyInArrow(_merge_pairs(store, bits), "shard int, blob binary")
-    sums = parts.groupBy("shard").applyInArrow(_merge_words(store), ", ".join(f"s{i} long" for i in range(13)))
-    s = [int(x or 0) for x in sums.agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(13))).first()]
+    parts = texts.mapInArrow(_count_grams(order, bits), "shard int, blob binary")
+    for n in range(order, 1, -1):
+        parts = parts.groupBy("shard").applyInArrow(_merge_grams(store, n, order, bits), "shard int, blob binary")
+    size = 8 + 5 * (order - 1)
+    sums = parts.groupBy("shard").applyInArrow(_merge_words(store, order), ", ".join(f"s{i} long" for i in range(size)))
+    s = [int(x or 0) for x in sums.agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(size))).first()]
     word_d = discounts(*s[2:6])
     leftover = (word_d[0] * s[2] + word_d[1] * s[3] + word_d[2] * s[7]) / s[6] if s[6] else 1.0
-    return KneserNey(store.root, bits, s[0], s[1], discounts(*s[8:12]), word_d, s[12], texts_read, leftover)
+    gram_d = {n: discounts(*s[8 + 5 * (order - n) :][:4]) for n in range(order, 1, -1)}
+    return KneserNey(store.root, bits, s[0], s[1], order, gram_d, word_d, s[-1], leftover)
 
 
 def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:

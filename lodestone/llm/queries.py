@@ -63,7 +63,7 @@ def op9_source_mixing(spark, sf_dir):
 
 def op10_lm_scoring(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    model = kneser_ney.train(docs, crc_of("doc_id") % 10 != 0)
+    model = kneser_ney.train(docs, crc_of("doc_id") % 10 != 0, order=3)
     out = kneser_ney.score_documents(docs, model)
     return out.select("doc_id", (crc_of("doc_id") % 10 == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 

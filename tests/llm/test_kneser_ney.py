@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from lodestone.llm import kneser_ney
+from lodestone.llm import kneser_ney, queries
 
 
 def brute(texts, queries):
@@ -64,3 +64,54 @@ def test_empty_training_table(spark):
     assert got[1].n_tokens == 3 and got[1].n_known == 0 and got[1].train_tokens == 0 and got[1].score == 0
     assert got[None].n_tokens == 1
     assert kneser_ney.score_documents(df.where("false"), model).count() == 0
+
+
+def brute_of_order(texts, queries, order):
+    """log10 probabilities by the textbook recursion; n-grams that begin a text keep their plain counts."""
+    padded = lambda t: ["<s>", *(t or "").lower().split(), "</s>"]
+    plain = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        w = padded(t)
+        for n in range(1, order + 1):
+            plain[n].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    counts = {order: plain[order]}
+    for n in range(1, order):
+        before = Counter(g[1:] for g in plain[n + 1])
+        counts[n] = Counter({g: plain[n][g] if g[0] == "<s>" and n > 1 else before[g] for g in plain[n] if g != ("<s>",)})
+    d = {n: [0, *kneser_ney.discounts(*(sum(c == i for c in counts[n].values()) for i in (1, 2, 3, 4)))] for n in counts}
+    total, kinds = Counter(), defaultdict(Counter)
+    for n in counts:
+        for g, c in counts[n].items():
+            total[g[:-1]] += c
+            kinds[g[:-1]][min(c, 3)] += 1
+    v = len(counts[1])
+
+    def p(context, w):
+        low = p(context[1:], w) if context else 1 / (v + 1)
+        if not total[context]:
+            return low
+        n = len(context) + 1
+        c = counts[n][*context, w]
+        return max(c - d[n][min(c, 3)], 0) / total[context] + sum(d[n][k] * m for k, m in kinds[context].items()) / total[context] * low
+
+    for context in [(), *list(kinds)[-3:]]:
+        assert abs(sum(p(context, w) for (w,) in counts[1]) + p(context, "never seen") - 1) < 1e-9
+    return [sum(math.log10(p(tuple(w[max(0, i - order + 1) : i]), w[i])) for i in range(1, len(w))) for w in map(padded, queries)]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_orders_against_dictionaries(spark, order):
+    r = random.Random(order)
+    words = [f"w{int(r.paretovariate(0.9))}" for _ in range(60)]
+    texts = [" ".join(r.choices(words, k=r.randrange(60))) for _ in range(120)] + [None, "", "A a A", "w1 " * 2000, "w1 w2", "w1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = kneser_ney.score_documents(df, kneser_ney.train(df, df.doc_id % 10 != 0, order=order)).orderBy("doc_id").collect()
+    want = brute_of_order([t for i, t in enumerate(texts) if i % 10], texts, order)
+    assert [g.score for g in got] == pytest.approx(want, rel=1e-9)
+
+
+def test_query_has_order_three(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, "a b c d") for i in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    orders, train = [], kneser_ney.train
+    monkeypatch.setattr(kneser_ney, "train", lambda *a, **k: orders.append(train(*a, **k).order) or train(*a, **k))
+    assert queries.op10_lm_scoring(spark, str(tmp_path)).count() == 40 and orders == [3]
