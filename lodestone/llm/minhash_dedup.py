@@ -66,17 +66,15 @@ def _sketches(width: int, bins: int, band: int):
     def run(batches):
         known = WordHashes()
         for batch in rows(batches):
-            n, s1, s2, keys, coordinates = [], [], [], [], []
+            n, s1, s2, keys = [], [], [], []
             for text in batch.column(1):
                 x = shingles(known.array(_lower(text.as_py())), width)
                 n.append(len(x))
                 s1.append(mix(x).sum(dtype=U64))
                 s2.append(mix(x ^ U64(0xE7037ED1A0B428DB)).sum(dtype=U64))
-                s = sketch(x, bins) if len(x) else x
-                keys.append(band_keys(s, band) if len(x) else x)
-                coordinates.append(s.astype(np.uint8).tobytes())
+                keys.append(band_keys(sketch(x, bins), band) if len(x) else x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), longs(np.array(s1, U64)), longs(np.array(s2, U64)), list_array(keys), pa.array(coordinates, pa.binary())], ["doc_id", "n", "s1", "s2", "bands", "coordinates"]
+                [batch.column(0), pa.array(n, pa.int64()), longs(np.array(s1, U64)), longs(np.array(s2, U64)), list_array(keys)], ["doc_id", "n", "s1", "s2", "bands"]
             )
 
     return run
@@ -92,20 +90,28 @@ def _sets(width: int):
     return run
 
 
-def _joined_components(bins: int, band: int, least: int, percent: int):
+def _common(one: np.ndarray, others: list[np.ndarray]) -> list[int]:
+    """Sizes of the intersections of one sorted set with others."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(one, flat)
+    at[at == len(one)] = 0
+    sizes = np.array([len(x) for x in others])
+    return np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes).tolist()
+
+
+def _joined_components(percent: int):
     """Of one bucket's tile: pairs of components that a link joins, as few as tell which components come together.
 
-    A pair of documents that meets in several buckets is looked at on the first band on which it agrees; one that agrees
-    on fewer than ``least`` coordinates is passed over, the others are confirmed on their full sets.
+    A pair of documents that meets in several buckets is looked at in the first of them, told by the whole band keys;
+    there it is confirmed on the full sets unless its components have come together by then.
     """
 
     def run(batches):
         for table in groups(batches, "tile"):
             comps, side, n = (table.column(c).to_numpy() for c in ("comp", "side", "n"))
-            sets = [np.asarray(x.values) for chunk in table.column("shingles").chunks for x in chunk]
+            sets = [np.asarray(x.values).view(U64) for chunk in table.column("shingles").chunks for x in chunk]
             t = int(table.column("t")[0].as_py())
-            coordinates = np.frombuffer(b"".join(table.column("coordinates").to_pylist()), np.uint8).reshape(-1, bins)
-            alike = coordinates.reshape(len(comps), bins // band, band)
+            bands = np.concatenate([chunk.flatten().to_numpy() for chunk in table.column("bands").chunks]).reshape(len(comps), -1)
             first, second = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(comps)),) * 2
             of = {c: c for c in comps.tolist()}
 
@@ -119,18 +125,20 @@ def _joined_components(bins: int, band: int, least: int, percent: int):
                 j = second[comps[second] != comps[i]]
                 if not side.any():
                     j = j[j > i]
+                j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
                 for at in range(0, len(j), 4096):
                     k = j[at : at + 4096]
-                    k = k[(alike[k, t] == alike[i, t]).all(axis=1)]
-                    k = k[100 * np.minimum(n[k], n[i]) >= percent * np.maximum(n[k], n[i])]
-                    if t:
-                        k = k[~(alike[k, :t] == alike[i, :t]).all(axis=2).any(axis=1)]
-                    same = (coordinates[k] == coordinates[i]).sum(axis=1)
-                    for k in k[np.argsort(-same, kind="stable")][: int((same >= least).sum())].tolist():
-                        x, y = root(int(comps[i])), root(int(comps[k]))
-                        if x != y:
-                            common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-                            if 100 * common >= percent * (len(sets[i]) + len(sets[k]) - common):
+                    alike = bands[k] == bands[i]
+                    mine = alike[:, t] & ~alike[:, :t].any(axis=1)
+                    k = k[mine][np.argsort(-alike[mine].sum(axis=1), kind="stable")].tolist()
+                    done, step = 0, 1
+                    while done < len(k):
+                        x = root(int(comps[i]))
+                        part = [m for m in k[done : done + step] if root(int(comps[m])) != x]
+                        done, step = done + step, min(2 * step, 256)
+                        for m, common in zip(part, _common(sets[i], [sets[m] for m in part]) if part else [], strict=True):
+                            x, y = root(int(comps[i])), root(int(comps[m]))
+                            if x != y and 100 * common >= percent * (len(sets[i]) + len(sets[m]) - common):
                                 of[max(x, y)] = min(x, y)
                                 joined.append((min(x, y), max(x, y)))
             if joined:
@@ -139,16 +147,15 @@ def _joined_components(bins: int, band: int, least: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bins: int = 128, band: int = 4, slack: float = 4.0, hubs: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bins: int = 128, band: int = 4, hubs: int = 3) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, class_id (smallest doc_id of the same shingle set), component_id, kept.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. Documents link when 100 * |A & B| >= percent * |A | B| on the full
     sets. A pair at 0.75 shares a band of ``band`` of 128 coordinates with probability 1 - (1 - 0.75**4)**32 > 0.99999.
     Equal sets collapse to one representative first. Members of a bucket are then compared with ``hubs`` of them and
-    linked into components; in buckets that still hold several components, pairs between components are compared in
-    tiles, by coordinates first: a pair goes on to the full sets unless it agrees on fewer than ``slack`` standard
-    deviations below what the threshold leads to expect (chance 3e-5 at the threshold). Links inside a component
-    change nothing and tiles give only the components that they join, so no group is expanded into rows of pairs.
+    linked into components; in buckets that still hold several components, all pairs between components whose sizes
+    allow a link are confirmed on the full sets, in tiles. Links inside a component change nothing and tiles give only
+    the components that they join, so no group is expanded into rows of pairs.
 
     Null or empty text: no shingles, linked with nothing, kept. Null doc_id: component_id and kept are null. Rows
     repeated with one doc_id share its component. Empty table: empty result.
@@ -159,10 +166,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bins: in
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = materialize(
-        docs.mapInArrow(_sketches(width, bins, band), "doc_id long, n long, s1 long, s2 long, bands array<long>, coordinates binary"), "sketches"
+        docs.mapInArrow(_sketches(width, bins, band), "doc_id long, n long, s1 long, s2 long, bands array<long>"), "sketches"
     )
     named = sketched.where("n > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("coordinates").alias("coordinates"))
+    classes = named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     in_bands = classes.select("rep", F.posexplode("bands").alias("t", "key"))
     shared = in_bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")  # a key holds its band's number
@@ -176,17 +183,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bins: in
     links = materialize(_confirm(pairs, sets, percent), "links")
     comp = materialize(components(links), "components")
     at = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("t", "key", "rep", F.coalesce("component", "rep").alias("comp"))
-    at = at.join(classes.select("rep", "n", "coordinates"), "rep")
+    at = at.join(classes.select("rep", "n", "bands"), "rep")
     open_ = at.groupBy("t", "key").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     chunks = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("weight") / TILE_SHINGLES)).cast("int")
     met = at.join(open_.select("t", "key", chunks.alias("chunks")), ["t", "key"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     met = met.join(sets.select("rep", "shingles"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tile = F.xxhash64("t", "key", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    met = met.select(tile.alias("tile"), "t", "rep", "comp", "n", "coordinates", "shingles", (F.col("chunk") > F.col("other")).cast("int").alias("side"))
-    wish = percent / 100
-    least = math.floor(bins * wish - slack * math.sqrt(bins * wish * (1 - wish)))
+    met = met.select(tile.alias("tile"), "t", "rep", "comp", "n", "bands", "shingles", (F.col("chunk") > F.col("other")).cast("int").alias("side"))
     met = met.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "tile").sortWithinPartitions("tile", "side", "rep")
-    more = materialize(met.mapInArrow(_joined_components(bins, band, least, percent), "a long, b long"), "joined")
+    more = materialize(met.mapInArrow(_joined_components(percent), "a long, b long"), "joined")
     over = components(more).toDF("component", "top")
     comp = comp.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")).unionByName(
         over.join(comp.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))

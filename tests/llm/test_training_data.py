@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -136,6 +137,22 @@ def test_minhash_dedup_odd_rows(spark):
     assert minhash_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_minhash_dedup_pairs_of_a_tile():
+    """A pair is passed over for an earlier band only if the whole key of that band is the same; all others are confirmed."""
+    a, b = np.arange(100, dtype=np.int64), np.arange(10, 110, dtype=np.int64)
+    bands = np.arange(64, dtype=np.int64).reshape(2, 32) << 8  # low bytes agree everywhere, keys nowhere
+    for t, earlier, want in ((9, None, [(1, 2)]), (9, 4, []), (0, None, [(1, 2)])):
+        keys = bands.copy()
+        keys[1, [t, *([] if earlier is None else [earlier])]] = keys[0, [t, *([] if earlier is None else [earlier])]]
+        columns = {"tile": [5, 5], "t": [t, t], "rep": [1, 2], "comp": [1, 2], "n": [100, 100], "bands": keys.tolist(), "shingles": [a.tolist(), b.tolist()], "side": [0, 0]}
+        # of the 128 low bytes of coordinates only those of one band agree, and those of band 0 by chance
+        low = np.arange(256, dtype=np.uint8).reshape(2, 128)
+        low[1, [*range(4), *range(4 * t, 4 * t + 4)]] = low[0, [*range(4), *range(4 * t, 4 * t + 4)]]
+        batch = pa.RecordBatch.from_pydict(columns | {"coordinates": [x.tobytes() for x in low]})
+        out = [tuple(r.values()) for part in minhash_dedup._joined_components(75)([batch]) for r in part.to_pylist()]
+        assert out == want
+
+
 def test_sketch_fills_every_coordinate():
     rng = np.random.default_rng(0)
     for n in (1, 2, 3, 50, 1000):
