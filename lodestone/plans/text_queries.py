@@ -31,6 +31,11 @@ def sorted_word_count_ascending(t):
     return text.sorted_word_count(_documents(t), ascending=True).limit(50)
 
 
+@query(f"SELECT word, n FROM ({_COUNTS.replace('>= 3', '>= 1')}) ORDER BY n, word")
+def sorted_word_count_whole(t):
+    return text.sorted_word_count(_documents(t), ascending=True)
+
+
 @query(f"""SELECT word, string_agg(n || ':' || source, ',' ORDER BY n, source) AS postings FROM (
   SELECT source, word, count(*) AS n FROM (SELECT source, unnest({_WORDS.format('text', 3)}) AS word FROM documents) GROUP BY ALL) GROUP BY word""")
 def doc_word_postings(t):

@@ -35,3 +35,8 @@ def test_query(spark, duck, name):
         assert normal(got, columns) == normal(want, columns)
     else:
         assert len(got)
+
+
+def test_sorted_word_count_whole_is_whole(spark):
+    got = catalog.QUERIES["sorted_word_count_whole"](spark, SF).collect()
+    assert len(got) > 50 and [(r.n, r.word) for r in got] == sorted((r.n, r.word) for r in got)
