@@ -72,10 +72,10 @@ def choose(n: Column, k: Column) -> Column:
     return F.when((k < 0) | (k > n), 0.0).when(k == 0, 1.0).otherwise(F.round(product))
 
 
-def pearson_from_sums(n, x, y, xy, xx, yy) -> Column:
-    """Correlation from sums; null where a variance is zero."""
-    spread = F.sqrt(F.greatest(n * xx - x * x, F.lit(0.0))) * F.sqrt(F.greatest(n * yy - y * y, F.lit(0.0)))
-    return F.try_divide(n * xy - x * y, F.when(spread > 0, spread))
+def pearson(x, y) -> Column:
+    """Correlation as an aggregate, from centred moments; null where a variance is zero."""
+    spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
+    return F.least(F.greatest(F.try_divide(F.covar_pop(x, y), F.when(spread > 0, spread)), F.lit(-1.0)), F.lit(1.0))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:

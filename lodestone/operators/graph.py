@@ -5,9 +5,11 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.tables import discard, materialize
+
 
 def undirected(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """Distinct edges with src < dst; loops and nulls go."""
@@ -44,7 +46,7 @@ def edge_triangles(edges: DataFrame) -> DataFrame:
 
 def diamonds(edges: DataFrame) -> DataFrame:
     """(u, v, b, d): edge u < v with two common neighbours b < d."""
-    e = edge_triangles(edges)
+    e = materialize(edge_triangles(edges), "triangles")  # read twice
     on = (F.col("p.src") == F.col("q.src")) & (F.col("p.dst") == F.col("q.dst")) & (F.col("p.other") < F.col("q.other"))
     return e.alias("p").join(e.alias("q"), on).select(F.col("p.src").alias("u"), F.col("p.dst").alias("v"), F.col("p.other").alias("b"), F.col("q.other").alias("d"))
 
@@ -83,13 +85,17 @@ def common_friends(edges: DataFrame) -> DataFrame:
     return edges.join(found, ["src", "dst"], "left").select("src", "dst", F.coalesce("common", empty).alias("common"))
 
 
-def recommend_friends(edges: DataFrame) -> DataFrame:
-    """(person, candidate, n, mutual): persons at distance two who are no friends, with their mutual friends."""
+def _strangers(edges: DataFrame, *parts: Column) -> DataFrame:
+    """(src, dst, parts): pairs at distance two who are no friends. Wedges are combined before friends are taken out."""
     two = both_ways(edges)
     wedge = two.alias("p").join(two.alias("q"), F.col("p.src") == F.col("q.src")).where(F.col("p.dst") < F.col("q.dst"))
     wedge = wedge.select(F.col("p.dst").alias("src"), F.col("q.dst").alias("dst"), F.col("p.src").alias("m"))
-    found = wedge.join(edges, ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("m")).alias("mutual"))
-    return both_ways_with(found)
+    return wedge.groupBy("src", "dst").agg(*parts).join(edges, ["src", "dst"], "left_anti")
+
+
+def recommend_friends(edges: DataFrame) -> DataFrame:
+    """(person, candidate, n, mutual): persons at distance two who are no friends, with their mutual friends."""
+    return both_ways_with(_strangers(edges, F.count("*").alias("n"), F.array_sort(F.collect_list("m")).alias("mutual")))
 
 
 def both_ways_with(found: DataFrame) -> DataFrame:
@@ -99,17 +105,26 @@ def both_ways_with(found: DataFrame) -> DataFrame:
 
 
 def recommend_friends_topn(edges: DataFrame, n: int) -> DataFrame:
-    """The n candidates with most mutual friends for each person, then by id."""
+    """(person, candidate, n, rank): the n candidates with most mutual friends for each person, then by id."""
     rank = F.row_number().over(Window.partitionBy("person").orderBy(F.desc("n"), "candidate"))
-    return recommend_friends(edges).drop("mutual").withColumn("rank", rank).where(F.col("rank") <= n)
-
-
-def reachable(spark: SparkSession, dag: DataFrame) -> DataFrame:
-    """(parent, child): all descendants in a small DAG, the node itself included."""
-    dag.createOrReplaceTempView("lodestone_dag")
-    return spark.sql("""WITH RECURSIVE r(parent, child) AS (
-        SELECT DISTINCT n, n FROM (SELECT parent AS n FROM lodestone_dag UNION SELECT child FROM lodestone_dag)
-        UNION ALL SELECT r.parent, d.child FROM r JOIN lodestone_dag d ON r.child = d.parent) SELECT DISTINCT parent, child FROM r""")
+    return both_ways_with(_strangers(edges, F.count("*").alias("n"))).withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def reachable(dag: DataFrame) -> DataFrame:
+    """(parent, child): all descendants in a DAG, the node itself included.
+
+    Paths double in length each round, repeated pairs go at once, and each round is a written table.
+    """
+    nodes = dag.select(F.explode(F.array("parent", "child")).alias("parent")).where("parent IS NOT NULL").distinct()
+    paths = materialize(dag.select("parent", "child").where("parent <> child").distinct(), "paths")
+    n = paths.count()
+    while True:
+        on = paths.select(F.col("parent").alias("child"), F.col("child").alias("end"))
+        longer = materialize(paths.unionByName(paths.join(on, "child").select("parent", F.col("end").alias("child"))).distinct(), "paths")
+        discard(paths)
+        before, paths, n = n, longer, longer.count()
+        if n == before:
+            return paths.unionByName(nodes.select("parent", F.col("parent").alias("child")))
 
 
 def greedy_views(costs: list[tuple[str, int]], edges: list[tuple[str, str]], k: int) -> list[tuple[str, int]]:

@@ -19,9 +19,14 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def lookup_side(dim: DataFrame) -> DataFrame:
+    """A side to be broadcast where the optimiser's size of it is at most BROADCAST_BYTES; a larger one as it is."""
+    return F.broadcast(dim) if plan_bytes(dim) <= BROADCAST_BYTES else dim
+
+
 def lookup_join(fact: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
     """Map-side join with a small side; a side over BROADCAST_BYTES is joined by a shuffle instead."""
-    return fact.join(F.broadcast(dim) if plan_bytes(dim) <= BROADCAST_BYTES else dim, on, how)
+    return fact.join(lookup_side(dim), on, how)
 
 
 def chain_join(r: DataFrame, s: DataFrame, t: DataFrame, b: str = "b", c: str = "c", strategy: str = "chain", grid: int = 4) -> DataFrame:
@@ -43,12 +48,12 @@ def left_join_distinct(detail: DataFrame, dim: DataFrame, on: str, group: str, v
 
 
 def share_of_group(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Each row's part of its group's sum.
+    """Each row's part of its group's sum; null where the sum is zero.
 
     Sums are combined before the shuffle and joined back, so that a hot group's rows can be split over tasks.
     """
     sums = df.groupBy(F.col(group).alias("_g")).agg(F.sum(value).alias("_sum"))
-    return df.join(sums, F.col(group).eqNullSafe(F.col("_g"))).withColumn("share", F.col(value) / F.col("_sum")).drop("_g", "_sum")
+    return df.join(sums, F.col(group).eqNullSafe(F.col("_g"))).withColumn("share", F.try_divide(F.col(value), F.col("_sum"))).drop("_g", "_sum")
 
 
 def pairs_in_group(df: DataFrame, group: str, item: str) -> DataFrame:
@@ -66,15 +71,23 @@ def cartesian(left: DataFrame, right: DataFrame) -> DataFrame:
 def membership_split(facts: DataFrame, dim: DataFrame, on: str, group: str, value: Column) -> DataFrame:
     """Per group the count, mean and variance of ``value`` over dimension rows in the group's set and of those outside.
 
-    The outside comes from totals minus the inside, so groups are not multiplied with the dimension.
+    A group without a member in the dimension stays, with count 0 and null statistics inside. Values are taken from
+    their global mean and squares from the group's own mean, so large values lose no digits. The outside follows from
+    the totals by the rule for splitting sums of squares, so groups are not multiplied with the dimension.
     """
     v = value.cast("double")
-    total = dim.agg(F.count(v).alias("tn"), F.sum(v).alias("ts"), F.sum(v * v).alias("tq"))
-    inside = facts.select(group, on).distinct().join(dim, on).groupBy(group).agg(F.count(v).alias("n1"), F.sum(v).alias("s1"), F.sum(v * v).alias("q1"))
-    both = inside.join(F.broadcast(total)).withColumns({"n2": F.col("tn") - F.col("n1"), "s2": F.col("ts") - F.col("s1"), "q2": F.col("tq") - F.col("q1")})
+    total = dim.agg(F.count(v).alias("tn"), F.avg(v).alias("tm"), F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0)).alias("tq"))
+    members = facts.select(group, on).distinct().join(dim.select(on, v.alias("_v")), on, "left")
+    d = F.col("_v") - F.col("tm")
+    inside = members.join(F.broadcast(total)).groupBy(group).agg(
+        F.count("_v").alias("n1"), F.avg(d).alias("d1"), F.coalesce(F.var_pop(d) * F.count(d), F.lit(0.0)).alias("q1"), *(F.first(c).alias(c) for c in ("tn", "tm", "tq"))
+    )
+    c = F.col
+    both = inside.withColumn("n2", c("tn") - c("n1")).withColumn("d2", F.try_divide(-c("n1") * F.coalesce("d1", F.lit(0.0)), c("n2")))
+    apart = F.coalesce((c("d1") - c("d2")) * (c("d1") - c("d2")) * F.try_divide(c("n1") * c("n2"), c("tn")), F.lit(0.0))
+    both = both.withColumn("q2", F.greatest(c("tq") - c("q1") - apart, F.lit(0.0)))
     stats = [group]
     for i in "12":
-        n, s, q = F.col(f"n{i}"), F.col(f"s{i}"), F.col(f"q{i}")
-        mean = F.try_divide(s, n)
-        stats += [n.alias(f"n{i}"), mean.alias(f"mean{i}"), F.try_divide(F.greatest(q - s * mean, F.lit(0.0)), F.when(n > 1, n - 1)).alias(f"var{i}")]
+        n = c(f"n{i}")
+        stats += [n, (c("tm") + c(f"d{i}")).alias(f"mean{i}"), F.try_divide(c(f"q{i}"), F.when(n > 1, n - 1)).alias(f"var{i}")]
     return both.select(*stats)

@@ -8,7 +8,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import squared_distance
@@ -27,14 +27,19 @@ def kmeans_step(df: DataFrame, features: str, centres: list[list[float]]) -> Dat
     return near.groupBy("cluster").agg(F.count("*").alias("n"), F.array(*(F.avg(F.col("f")[i]) for i in dims)).alias("centre"))
 
 
-def kmeans(df: DataFrame, key: str, features: str, k: int, epsilon: float = 1e-6, rounds: int = 20) -> list[list[float]]:
-    """Centres from the first k rows by key, moved until the mean squared shift is at most epsilon."""
-    centres = [list(r[0]) for r in df.orderBy(key).select(F.col(features).cast("array<double>")).limit(k).collect()]
-    for _ in range(rounds):
-        moved = {r["cluster"]: list(r["centre"]) for r in kmeans_step(df, features, centres).collect()}
+def kmeans(df: DataFrame, key: str, features: str, k: int, epsilon: float = 1e-6, rounds: int | None = None, centres: list[list[float]] | None = None) -> list[list[float]]:
+    """Centres, at first those given or the first k rows by key, moved until the mean squared shift is at most epsilon.
+
+    A centre without a row stays. ``rounds`` limits the loop only where it is given.
+    """
+    points = df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("f")).where(F.col("f").isNotNull())
+    centres = centres or [list(r[0]) for r in points.orderBy("key").select("f").limit(k).collect()]
+    done = 0
+    while centres and (rounds is None or done < rounds):
+        moved = {r["cluster"]: list(r["centre"]) for r in kmeans_step(points, "f", centres).collect()}
         new = [moved.get(i, c) for i, c in enumerate(centres)]
         shift = sum((a - b) ** 2 for c, d in zip(centres, new, strict=True) for a, b in zip(c, d, strict=True)) / len(centres)
-        centres = new
+        centres, done = new, done + 1
         if shift <= epsilon:
             break
     return centres
@@ -73,3 +78,11 @@ def fit_naive_bayes(df: DataFrame, features, label: str, smoothing: float = 1.0)
 
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    """A saved model, whatever its kind, as a pipeline of one step or more; apply it with transform()."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    found = DefaultParamsReader.loadParamsInstance(path, SparkSession.active())
+    return found if isinstance(found, PipelineModel) else PipelineModel([found])

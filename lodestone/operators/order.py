@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.tables import materialize
+
 
 def secondary_sort(df: DataFrame, key: str, by: str, value: str, ascending: bool = True) -> DataFrame:
-    """(key, series): array of (by, value) in order; equal ``by`` keep all rows, ties by value."""
+    """(key, series): array of (by, value) in order; equal ``by`` keep all rows, ties by value.
+
+    A key's series is one row; where it may outgrow a row, stream through sort_in_partitions() instead.
+    """
     series = F.sort_array(F.collect_list(F.struct(by, value)), asc=ascending)
     return df.groupBy(key).agg(series.alias("series"))
 
@@ -40,8 +45,8 @@ def top_n_per_group(df: DataFrame, n: int, group: str, *order: Column | str) ->
 
 
 def sample_fixed(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows without replacement, the same for a seed whatever the partitions."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows without replacement, the same for a seed whatever the partitions: the first by md5 of key and seed."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)
 
 
 def moving_average(df: DataFrame, key: str, by: list[str], value: str, window: int, min_periods: int = 1) -> DataFrame:
@@ -51,8 +56,26 @@ def moving_average(df: DataFrame, key: str, by: list[str], value: str, window: i
     return out if min_periods <= 1 else out.withColumn("_r", F.row_number().over(order)).where(F.col("_r") >= min_periods).drop("_r")
 
 
+def sums_before(df: DataFrame, group: str, order: Column | str, value: Column | str) -> DataFrame:
+    """Adds ``_before``, the sum of ``value`` over the rows of the group that come earlier, for groups of any size.
+
+    Rows are dealt by ranges of the order, written, and summed within each range; sums of the ranges before give the
+    rest. So a group is as many tasks as it has ranges. A null group is a group.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    order = [order] if isinstance(order, str | Column) else order
+    dealt = materialize(df.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(F.col(group).alias("_h"), F.col("_part").alias("_q")).agg(F.sum(value).alias("_s"))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(*by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_h", "_q", F.coalesce(F.sum("_s").over(earlier("_h", ["_q"])), F.lit(0)).alias("_t"))
+    inside = F.coalesce(F.sum(value).over(earlier(group, "_part", order)), F.lit(0))
+    out = dealt.withColumn("_n", inside).join(sums, F.col(group).eqNullSafe(F.col("_h")) & (F.col("_part") == F.col("_q")))
+    return out.select(*df.columns, (F.col("_n") + F.col("_t")).alias("_before"))
+
+
 def positional_rank(df: DataFrame, group: str, *order: Column | str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    """Adds ``rank``, the row's place (from 1) within its group."""
+    return sums_before(df, group, list(order), F.lit(1)).withColumn("rank", F.col("_before") + 1).drop("_before")
 
 
 def purchase_states(df: DataFrame, customer: str, date: str, amount: str, tie: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import pearson_from_sums, t_p_value
+from lodestone.functions import pearson, t_p_value
 from lodestone.operators.joins import membership_split
+from lodestone.operators.order import sums_before
 
 
 def welch(n1, m1, v1, n2, m2, v2) -> tuple[Column, Column]:
@@ -28,26 +29,42 @@ def membership_t_test(facts: DataFrame, dim: DataFrame, on: str, group: str, val
     return out.select(group, "n1", "n2", "t", "df", t_p_value("t", "df").alias("p"))
 
 
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of n pairs; 0 where \\|r\\| is 1, null where r is null or n under 3."""
+    t = F.try_divide(r * F.sqrt(n - 2.0), F.sqrt(F.greatest(1 - r * r, F.lit(0.0))))
+    return F.when(r.isNotNull() & (n > 2), F.coalesce(t_p_value(t, (n - 2).cast("double")), F.lit(0.0)))
+
+
 def all_pairs_correlation(df: DataFrame, item: str, subject: str, value: str, least: int = 3) -> DataFrame:
     """(item1, item2, n, r, p) over common subjects, means first; r and p are null under ``least`` common subjects."""
     means = df.groupBy(item, subject).agg(F.avg(value).alias("v"))
     a, b = means.toDF("item1", "_s", "x"), means.toDF("item2", "_s", "y")
-    c = F.col
-    sums = a.join(b, "_s").where("item1 < item2").groupBy("item1", "item2").agg(
-        F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(c("x") * c("y")).alias("sxy"), F.sum(c("x") * c("x")).alias("sxx"), F.sum(c("y") * c("y")).alias("syy"))
-    r = F.when(c("n") >= least, pearson_from_sums(c("n"), c("sx"), c("sy"), c("sxy"), c("sxx"), c("syy")))
-    out = sums.select("item1", "item2", "n", r.alias("r"))
-    t = F.try_divide(c("r") * F.sqrt(c("n") - 2.0), F.sqrt(F.greatest(1 - c("r") * c("r"), F.lit(0.0))))
-    return out.withColumn("p", F.when(c("r").isNotNull(), F.coalesce(t_p_value(t, (c("n") - 2).cast("double")), F.lit(0.0))))
+    pairs = a.join(b, "_s").where("item1 < item2").groupBy("item1", "item2").agg(F.count("*").alias("n"), pearson("x", "y").alias("_r"))
+    out = pairs.select("item1", "item2", "n", F.when(F.col("n") >= least, F.col("_r")).alias("r"))
+    return out.withColumn("p", correlation_p(F.col("r"), F.col("n")))
 
 
 def spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """(group, n, rho): Pearson's r of average ranks within the group."""
-    def rank(c):
-        w = Window.partitionBy(group)
-        first = F.rank().over(w.orderBy(c))
-        return first + (F.count("*").over(Window.partitionBy(group, c)) - 1) / 2.0
-
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, rank(x).alias("a"), rank(y).alias("b"))
-    s = ranked.groupBy(group).agg(F.count("*").alias("n"), *(F.sum(e).alias(k) for k, e in {"x": F.col("a"), "y": F.col("b"), "xy": F.col("a") * F.col("b"), "xx": F.col("a") * F.col("a"), "yy": F.col("b") * F.col("b")}.items()))
-    return s.select(group, "n", pearson_from_sums(*(F.col(k) for k in ("n", "x", "y", "xy", "xx", "yy"))).alias("rho"))
+    """(group, n, rho, p): Pearson's r of average ranks within the group.
+
+    Ranks are those of the group's distinct values, so equal values are counted before anything is ranked; a group with
+    many distinct values is ranked in ranges.
+    """
+    sound = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(group).alias("_g"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    pairs = sound.groupBy("_g", "_x", "_y").agg(F.count("*").alias("_w"))
+
+    def ranked(c: str, name: str) -> DataFrame:
+        counts = pairs.groupBy("_g", c).agg(F.sum("_w").alias("_c"))
+        return sums_before(counts, "_g", c, "_c").select(F.col("_g").alias(f"_g{c}"), F.col(c).alias(f"_v{c}"), (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(name))
+
+    a, b = ranked("_x", "a"), ranked("_y", "b")
+    both = pairs.join(a, F.col("_g").eqNullSafe(F.col("_g_x")) & (F.col("_x") == F.col("_v_x"))).join(b, F.col("_g").eqNullSafe(F.col("_g_y")) & (F.col("_y") == F.col("_v_y")))
+    # weighted moments about the mean rank, which is (n + 1) / 2 on both sides
+    sizes = pairs.groupBy(F.col("_g").alias("_gn")).agg(F.sum("_w").alias("n"))
+    both = both.join(sizes, F.col("_g").eqNullSafe(F.col("_gn")))
+    u, v, w = F.col("a") - (F.col("n") + 1) / 2.0, F.col("b") - (F.col("n") + 1) / 2.0, F.col("_w")
+    s = both.groupBy("_g", "n").agg(F.sum(u * v * w).alias("uv"), F.sum(u * u * w).alias("uu"), F.sum(v * v * w).alias("vv"))
+    spread = F.sqrt("uu") * F.sqrt("vv")
+    rho = F.try_divide(F.col("uv"), F.when(spread > 0, spread))
+    out = s.select(F.col("_g").alias(group), "n", F.least(F.greatest(rho, F.lit(-1.0)), F.lit(1.0)).alias("rho"))
+    return out.withColumn("p", correlation_p(F.col("rho"), F.col("n")))

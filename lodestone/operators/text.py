@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,18 +33,36 @@ def word_postings(df: DataFrame, doc: str, text: str, min_length: int = 1) -> Da
     return counts.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("n", "doc"))).alias("postings"))
 
 
+def _count_each(text: Column, chars: Column) -> Column:
+    """Array of (ch, n): how often each of ``chars`` occurs in the text."""
+    return F.transform(chars, lambda c: F.struct(c.alias("ch"), (F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("long").alias("n")))
+
+
 def char_count(df: DataFrame, text: str = "text", lower: bool = True) -> DataFrame:
-    """(ch, n) over all characters."""
+    """(ch, n) over all characters; each row's characters are counted first, so a row for each different one is shuffled."""
     value = F.lower(text) if lower else F.col(text)
-    chars = df.where(F.length(text) > 0).select(F.explode(F.split(value, "")).alias("ch"))
-    return chars.groupBy("ch").agg(F.count("*").alias("n"))
+    rows = df.where(F.length(text) > 0).select(value.alias("t"))
+    counts = _count_each(F.col("t"), F.array_distinct(F.split("t", "")))
+    return rows.select(F.explode(counts).alias("c")).groupBy("c.ch").agg(F.sum("c.n").alias("n"))
 
 
 def base_count(lines: DataFrame, line: str = "value") -> DataFrame:
-    """(base, n) of sequence lines: A, C, G, T or other; header lines that begin with > don't count."""
-    ch = lines.where(~F.col(line).startswith(">") & (F.length(F.trim(line)) > 0)).select(F.explode(F.split(F.translate(F.trim(line), "acgt", "ACGT"), "")).alias("ch"))
-    base = F.when(F.col("ch").isin("A", "C", "G", "T"), F.col("ch")).otherwise("other").alias("base")
-    return ch.groupBy(base).agg(F.count("*").alias("n"))
+    """(base, n) of sequence lines: A, C, G, T or other; header lines that begin with > don't count.
+
+    Five sums over whole lines; bases that do not occur have no row.
+    """
+    value = F.translate(F.trim(line), "acgt", "ACGT")
+    rows = lines.where(~F.col(line).startswith(">")).select(value.alias("t"))
+    counts = [(F.length("t") - F.length(F.replace(F.col("t"), F.lit(b), F.lit("")))).cast("long") for b in "ACGT"]
+    other = F.length(F.translate("t", "ACGT", "")).cast("long")
+    sums = rows.agg(*(F.sum(c).alias(n) for n, c in zip("ACGT", counts, strict=True)), F.sum(other).alias("other"))
+    each = F.array(*(F.struct(F.lit(n).alias("base"), F.col(n).alias("n")) for n in (*"ACGT", "other")))
+    return sums.select(F.explode(each).alias("c")).select("c.*").where("n > 0")
+
+
+def fastq_base_count(reads: DataFrame) -> DataFrame:
+    """(base, n) over the sequences of FASTQ records, as sources.fastq() reads them."""
+    return base_count(reads.select(F.col("seq").alias("value")))
 
 
 def kmers(df: DataFrame, sequence: str, k: int) -> DataFrame:
@@ -66,8 +84,9 @@ def relative_frequency(df: DataFrame, tokens: Column, window: int = 2) -> DataFr
     n = F.col("n")
     ways = F.when(F.col("a") == F.col("b"), F.array(way("a", "b", n * 2))).otherwise(F.array(way("a", "b", n), way("b", "a", n)))
     counts = pairs.select(F.explode(ways).alias("w")).select("w.*")
-    total = F.sum("n").over(Window.partitionBy("word"))
-    return counts.withColumn("total", total).withColumn("frequency", F.col("n") / F.col("total"))
+    # sums are combined before their shuffle, so that a frequent word's pairs can be split over tasks
+    totals = counts.groupBy("word").agg(F.sum("n").alias("total"))
+    return counts.join(totals, "word").withColumn("frequency", F.col("n") / F.col("total"))
 
 
 def anagrams(df: DataFrame, text: str = "text", min_length: int = 2) -> DataFrame:

@@ -7,6 +7,7 @@ from lodestone import sources
 from lodestone.operators import agg, joins, order
 from lodestone.plans.registry import query
 from lodestone.streaming import sessions, windowed_counts
+from lodestone.tables import materialize
 
 _DAY = "strftime({}, '%Y-%m-%d')"
 
@@ -61,7 +62,7 @@ def left_join_unknown_location(t):
     return joins.left_join_distinct(t("orders"), users, "o_custkey", "o_orderpriority", "location", "unknown")
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey), 9) AS share FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity / nullif(sum(l_quantity) OVER (PARTITION BY l_orderkey), 0), 9) AS share FROM lineitem")
 def share_of_order(t):
     return joins.share_of_group(t("lineitem"), "l_orderkey", "l_quantity").select("l_orderkey", "l_linenumber", F.round("share", 9).alias("share"))
 
@@ -73,9 +74,9 @@ def cartesian(t):
 
 @query("SELECT a.l_returnflag, n, m, round(n / m, 9) AS part FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL) a JOIN (SELECT l_returnflag, count(*) AS m FROM lineitem GROUP BY ALL) b ON a.l_returnflag = b.l_returnflag")
 def subquery_join(t):
-    t("lineitem").createOrReplaceTempView("lodestone_lineitem")
-    return t("lineitem").sparkSession.sql("""SELECT a.l_returnflag, n, m, round(n / m, 9) AS part FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lodestone_lineitem GROUP BY l_returnflag, l_linestatus) a
-      JOIN (SELECT l_returnflag, count(*) AS m FROM lodestone_lineitem GROUP BY l_returnflag) b ON a.l_returnflag = b.l_returnflag""")
+    text = """SELECT a.l_returnflag, n, m, round(n / m, 9) AS part FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY l_returnflag, l_linestatus) a
+      JOIN (SELECT l_returnflag, count(*) AS m FROM {lineitem} GROUP BY l_returnflag) b ON a.l_returnflag = b.l_returnflag"""
+    return sources.sql(text, lineitem=t("lineitem"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -173,9 +174,13 @@ def secondary_sort_descending(t):
     return out.select("o_custkey", F.array_join(F.transform("series", lambda s: F.concat_ws(":", day(s["o_orderdate"]), s["o_orderkey"])), ",").alias("series"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders")
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS place, 1::BIGINT AS partitions FROM orders")
 def sort_in_partitions(t):
-    return order.sort_in_partitions(t("orders"), "o_custkey", F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "o_custkey")
+    """Places are those in which the rows lie, not computed from the order; all rows of a key lie in one partition."""
+    lying = order.sort_in_partitions(t("orders"), "o_custkey", F.desc("o_orderdate"), "o_orderkey").select("o_custkey", "o_orderkey", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"))
+    lying = materialize(lying, "sorted")
+    first = lying.groupBy("o_custkey").agg(F.min("at").alias("first"), F.countDistinct("p").alias("partitions"))
+    return lying.join(first, "o_custkey").select("o_custkey", "o_orderkey", (F.col("at") - F.col("first")).alias("place"), "partitions")
 
 
 _W = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey{})"
@@ -217,7 +222,7 @@ def top_n_per_group(t):
     return order.top_n_per_group(sums, 3, "p_brand", F.desc("q"), "p_partkey").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+@query("SELECT c_custkey FROM customer ORDER BY md5(c_custkey || ':42'), c_custkey LIMIT 100")
 def sample_fixed(t):
     return order.sample_fixed(t("customer"), 100, "c_custkey").select("c_custkey")
 
@@ -254,7 +259,7 @@ def markov_matrix(t):
 
 @query("SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY abs(p_retailprice) DESC, p_partkey) AS rank FROM part")
 def positional_rank(t):
-    return order.positional_rank(t("part"), "p_brand", F.abs("p_retailprice").desc(), "p_partkey").select("p_brand", "p_partkey", F.col("rank").cast("long").alias("rank"))
+    return order.positional_rank(t("part"), "p_brand", F.abs("p_retailprice").desc(), F.col("p_partkey")).select("p_brand", "p_partkey", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT n_nationkey AS k FROM nation UNION ALL SELECT s_nationkey FROM supplier")
@@ -321,7 +326,7 @@ _RANGE = "SELECT c_name, c_mktsegment FROM customer WHERE c_acctbal >= 0 AND c_a
 
 @query(_RANGE)
 def sql_range_filter(t):
-    return sources.sql(_RANGE, customer=t("customer"))
+    return sources.sql(_RANGE.replace("FROM customer", "FROM {customer}"), customer=t("customer"))
 
 
 _LOCATIONS = "SELECT o_orderpriority, count(DISTINCT c_nationkey) AS locations FROM orders LEFT OUTER JOIN customer ON o_custkey = c_custkey GROUP BY o_orderpriority"
@@ -329,9 +334,19 @@ _LOCATIONS = "SELECT o_orderpriority, count(DISTINCT c_nationkey) AS locations F
 
 @query(_LOCATIONS)
 def sql_left_outer_join(t):
-    return sources.sql(_LOCATIONS, orders=t("orders"), customer=t("customer"))
+    return sources.sql(_LOCATIONS.replace("FROM orders", "FROM {orders}").replace("JOIN customer", "JOIN {customer}"), orders=t("orders"), customer=t("customer"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def sql_nested_field(t):
-    return sources.sql("SELECT event_id, p.k FROM (SELECT event_id, from_json(props, 'k BIGINT') AS p FROM events)", events=t("events"))
+    return sources.sql("SELECT event_id, p.k FROM (SELECT event_id, from_json(props, 'k BIGINT') AS p FROM {events})", events=t("events"))
+
+
+@query("SELECT p_partkey, (CASE WHEN k > p_size THEN 0 ELSE round(exp(lgamma(p_size + 1) - lgamma(k + 1) - lgamma(p_size - k + 1))) END)::BIGINT AS ways FROM (SELECT p_partkey, p_size, p_partkey % 6 AS k FROM part)")
+def binomials(t):
+    return t("part").select("p_partkey", fn.choose(F.col("p_size"), (F.col("p_partkey") % 6).cast("int")).cast("long").alias("ways"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda x, i: i <> p_partkey % 3 + 1), ' ') AS rest FROM part")
+def all_but_one(t):
+    return t("part").select("p_partkey", F.array_join(fn.without_index(F.split("p_name", " "), (F.col("p_partkey") % 3).cast("int")), " ").alias("rest"))

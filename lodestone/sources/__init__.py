@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
 from math import ceil
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -14,8 +18,31 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def delimited(spark: SparkSession, paths: str | list[str], schema: str, sep: str = ",", header: bool = False) -> DataFrame:
-    """Typed rows; malformed ones are dropped, quoted fields understood."""
-    return spark.read.csv(paths, schema=schema, sep=sep, header=header, mode="DROPMALFORMED", quote='"')
+    """Typed rows; malformed ones are dropped, quoted fields (a quote within is doubled) understood.
+
+    With ``header`` each file's columns go by the names in its own first line, in any order and among others; a file that
+    lacks a wanted column is an error. Files of equal first lines are read together.
+    """
+    if not header:
+        return spark.read.csv(paths, schema=schema, sep=sep, mode="DROPMALFORMED", quote='"', escape='"')
+    wanted = StructType.fromDDL(schema)
+    first = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    heads = first.where("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("head"))
+    files: dict[tuple[str, ...], list[str]] = {}
+    for r in heads.collect():  # one line a file
+        names = tuple(n.strip() for n in next(csv.reader([r["head"].lstrip("\ufeff").rstrip("\r")], delimiter=sep)))
+        if missing := [f.name for f in wanted if f.name not in names]:
+            raise ValueError(f"no column {', '.join(missing)} in {r['file']}")
+        files.setdefault(names, []).append(r["file"])
+    out = None
+    for names, of in sorted(files.items()):
+        columns = StructType([StructField(f"_{i}", StringType()) for i in range(len(names))])
+        rows = spark.read.csv([unquote(f) for f in of], schema=columns, sep=sep, header=True, mode="DROPMALFORMED", quote='"', escape='"')
+        raw = {f.name: F.col(f"_{names.index(f.name)}") for f in wanted}
+        sound = [raw[f.name].isNull() | raw[f.name].try_cast(f.dataType).isNotNull() for f in wanted]
+        part = rows.where(reduce(lambda x, y: x & y, sound)).select(*(raw[f.name].try_cast(f.dataType).alias(f.name) for f in wanted))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], wanted)
 
 
 def split_lines(df: DataFrame, schema: list[tuple[str, str]], pattern: str = r"\s+", value: str = "value") -> DataFrame:
@@ -70,10 +97,11 @@ def spread(table: DataFrame) -> DataFrame:
 
 
 def sql(text: str, **tables: DataFrame) -> DataFrame:
-    """The result of a SQL text over DataFrames, each a temporary view of the name given."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return next(iter(tables.values())).sparkSession.sql(text)
+    """The result of a SQL text over DataFrames, which it names in braces, as in ``SELECT * FROM {orders}``.
+
+    No view of the caller's is touched.
+    """
+    return next(iter(tables.values())).sparkSession.sql(text, **tables)
 
 
 def json_rows(spark: SparkSession, paths: str | list[str], schema: str | None = None) -> DataFrame:
@@ -89,9 +117,23 @@ def buckets_needed(files: int, slots: int, most_per_bucket: int) -> int:
     return max(1, min(files, slots) if files <= slots * most_per_bucket else ceil(files / most_per_bucket))
 
 
-def consolidate(spark: SparkSession, path: str, out: str, buckets: int) -> None:
-    """Many small text files as ``buckets`` larger ones."""
-    spark.read.text(path).coalesce(buckets).write.mode("overwrite").text(out)
+def combined(spark: SparkSession, paths: str | list[str], most_bytes: int) -> DataFrame:
+    """Text lines of many small files, at most about ``most_bytes`` to a partition.
+
+    Spark packs small files by its own split size; where that gives fewer partitions than asked for, lines are dealt out.
+    """
+    source = spark.read.text(paths)
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    partitions, wanted = source._jdf.queryExecution().toRdd().getNumPartitions(), max(1, ceil(size / most_bytes))
+    return source.repartition(wanted) if partitions < wanted else source.coalesce(wanted)
+
+
+def consolidate(spark: SparkSession, path: str, out: str, slots: int, most_per_bucket: int) -> int:
+    """Many small text files as buckets_needed() larger ones; gives their number. Reading keeps its own parallelism."""
+    source = spark.read.text(path)
+    buckets = buckets_needed(len(source.inputFiles()), slots, most_per_bucket)
+    source.repartition(buckets).write.mode("overwrite").text(out)
+    return buckets
 
 
 def write_text(df: DataFrame, path: str, sep: str = "\t", single: bool = False) -> None:
@@ -103,5 +145,7 @@ def write_parquet(df: DataFrame, path: str, *partition_by: str) -> None:
 
 
 def generate_counts(spark: SparkSession, n: int, keys: int, seed: int = 42) -> DataFrame:
-    """Synthetic (key, freq) rows."""
-    return spark.range(n).select(F.concat(F.lit("key"), F.pmod("id", F.lit(keys))).alias("key"), (F.rand(seed) * 100).cast("int").alias("freq"))
+    """Synthetic (key, freq) rows, the same for a seed whatever the partitions."""
+    digest = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))).cast("binary"))
+    freq = F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % 100
+    return spark.range(n).select(F.concat(F.lit("key"), F.pmod("id", F.lit(keys))).alias("key"), freq.cast("int").alias("freq"))

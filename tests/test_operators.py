@@ -1,6 +1,7 @@
 """Golden results on tiny frames, agreement of strategies, and plan shapes."""
 
 import math
+import os
 import random
 from itertools import combinations
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import lodestone.functions as fn
-from lodestone import sources, streaming
+from lodestone import sources, streaming, tables
 from lodestone.operators import agg, graph, joins, mining, ml, order, spatial, stats, text
 
 
@@ -21,6 +22,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+#: Series of the secondary sort.
 SERIES = [("p", 4, 40), ("p", 6, 20), ("x", 2, 9), ("y", 2, 5), ("x", 1, 3), ("y", 1, 7), ("y", 3, 1), ("x", 3, 6), ("z", 1, 4), ("z", 2, 8), ("z", 3, 7), ("z", 4, 0), ("p", 1, 10), ("p", 3, 60)]
 
 
@@ -36,6 +38,7 @@ def test_secondary_sort(spark):
 
 
 def test_moving_average(spark):
+    # fixed values: prices and their moving averages
     prices = {
         "GOOG": [("2004-11-04", 184.70), ("2004-11-03", 191.67), ("2004-11-02", 194.87), ("2013-07-19", 896.60), ("2013-07-18", 910.68), ("2013-07-17", 918.55)],
         "AAPL": [("2013-10-09", 486.59), ("2013-10-08", 480.94), ("2013-10-07", 487.75), ("2013-10-04", 483.03), ("2013-10-03", 483.41)],
@@ -106,9 +109,14 @@ def test_spatial_golden(spark):
     assert spatial.overlap_chain(relations, list("pqrs"), 25.0).count() == 51
 
 
-GRAPH = [(1, 2), (2, 3), (3, 4), (4, 1), (1, 3), (2, 5), (5, 6), (6, 3), (2, 6), (7, 8), (8, 9), (9, 10), (10, 7), (7, 9), (8, 11), (11, 12), (12, 9), (11, 12)] + [
-    (a + k, b + k) for k in (12, 16, 20, 24) for a, b in ((1, 2), (2, 3), (3, 4), (4, 1), (1, 3))
-] + [(3, 5), (6, 1), (9, 12)]
+#: The edge list whose numbers of triangles and diamonds are known.
+GRAPH = [
+    (1, 2), (2, 3), (3, 4), (4, 1), (1, 3), (2, 5), (5, 6), (6, 3), (2, 6), (7, 8),
+    (8, 9), (9, 10), (10, 7), (7, 9), (8, 11), (11, 12), (12, 9), (11, 12), (13, 14), (14, 15),
+    (15, 16), (16, 13), (13, 15), (17, 18), (18, 19), (19, 20), (20, 17), (17, 19), (21, 22), (22, 23),
+    (23, 24), (24, 21), (21, 23), (25, 26), (26, 27), (27, 28), (28, 25), (25, 27), (3, 5), (6, 1),
+    (9, 12),
+]
 
 
 def test_graph_goldens(spark):
@@ -123,6 +131,7 @@ def test_graph_goldens(spark):
 
 
 def test_friends(spark):
+    # fixed values: friends and their recommendations
     lines = ["1:2,3,4,5,6,7", "2:1,3,4,5,6", "3:1,2", "4:1,2", "5:1,2", "6:1,2", "7:1"]
     e = graph.undirected(sources.adjacency(spark.createDataFrame([(x,) for x in lines], "value string")))
     top = graph.recommend_friends_topn(e, 3).groupBy("person").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate"))).alias("c"))
@@ -132,15 +141,27 @@ def test_friends(spark):
     assert common[1, 2] == [3, 4, 5, 6] and common[1, 7] == [] and common[2, 3] == [1]
 
 
-def test_views(spark):
-    from lodestone.plans.algorithm_queries import VIEW_COSTS, VIEW_EDGES
+#: The lattice of views (cost of each, edges from a view to those computed from it).
+VIEW_COSTS = [("a", 100), ("b", 50), ("c", 75), ("d", 20), ("e", 30), ("f", 40), ("g", 1), ("h", 10)]
+VIEW_EDGES = [("a", "b"), ("a", "c"), ("b", "d"), ("b", "e"), ("c", "e"), ("c", "f"), ("d", "g"), ("e", "g"), ("e", "h"), ("f", "h")]
+
 
+def test_views(spark):
     assert graph.greedy_views(VIEW_COSTS, VIEW_EDGES, 3) == [("b", 250), ("f", 70), ("d", 60)]
-    reach = graph.reachable(spark, spark.createDataFrame(VIEW_EDGES, "parent string, child string"))
+    reach = graph.reachable(spark.createDataFrame(VIEW_EDGES, "parent string, child string"))
     assert reach.where("parent = 'a'").count() == 8
 
 
+def test_reachable_on_long_and_dense_graphs(spark):
+    chain = spark.range(500).coalesce(1).selectExpr("id AS parent", "id + 1 AS child")
+    assert graph.reachable(chain).count() == 501 * 502 // 2
+    ladder = [e for i in range(30) for e in ((3 * i, 3 * i + 1), (3 * i, 3 * i + 2), (3 * i + 1, 3 * i + 3), (3 * i + 2, 3 * i + 3))]
+    out = graph.reachable(spark.createDataFrame(ladder, "parent long, child long"))
+    assert out.count() == out.distinct().count() and out.where("parent = 0").count() == 91
+
+
 def test_words(spark):
+    # fixed values: lines and their words
     lines = ["Hello world hello hadoop", "Hadoop is a powerful framework", "MapReduce is part of hadoop", "Hello world programming", "Java programming with hadoop"]
     df = spark.createDataFrame([(x,) for x in lines], "text string")
     got = dict(rows(text.word_count(df, min_length=3), "word", "n"))
@@ -218,11 +239,15 @@ def test_spread_leaves_large_tables(spark, tmp_path):
 def test_share_of_group_keeps_null_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0)], "g string, v double")
     assert {(r.g, r.v): r.share for r in joins.share_of_group(df, "g", "v").collect()} == {("a", 1.0): 0.25, ("a", 3.0): 0.75, (None, 5.0): 1.0}
+    zero = spark.createDataFrame([("a", 0.0), ("b", 1.0), ("b", -1.0)], "g string, v double")
+    assert [r.share for r in joins.share_of_group(zero, "g", "v").collect()] == [None] * 3
 
 
 def test_sql_views(spark):
-    out = sources.sql("SELECT a.k, b.v FROM a LEFT JOIN b USING (k)", a=spark.createDataFrame([(1,), (2,)], "k int"), b=spark.createDataFrame([(1, "x")], "k int, v string"))
+    spark.range(3).createOrReplaceTempView("a")
+    out = sources.sql("SELECT a.k, b.v FROM {a} a LEFT JOIN {b} b USING (k)", a=spark.createDataFrame([(1,), (2,)], "k int"), b=spark.createDataFrame([(1, "x")], "k int, v string"))
     assert sorted(map(tuple, out.collect())) == [(1, "x"), (2, None)]
+    assert spark.table("a").count() == 3
 
 
 def test_aggregates(spark):
@@ -252,6 +277,7 @@ def test_markov(spark):
     assert matrix.where("from = 'SE' AND to = 'MG'").first().p == pytest.approx(2 / 10)
 
 
+#: Points with classes.
 KNN_S = [(100, "c1", 1.0, 1.0), (101, "c1", 1.1, 1.2), (102, "c1", 1.2, 1.0), (103, "c1", 1.6, 1.5), (104, "c1", 1.3, 1.7), (105, "c1", 2.0, 2.1), (106, "c1", 2.0, 2.2), (107, "c1", 2.3, 2.3), (208, "c2", 9.0, 9.0), (209, "c2", 9.1, 9.2), (210, "c2", 9.2, 9.0), (211, "c2", 10.6, 10.5), (212, "c2", 10.3, 10.7), (213, "c2", 9.6, 9.1), (214, "c2", 9.4, 10.4), (215, "c2", 10.3, 10.3), (300, "c3", 10.0, 1.0), (301, "c3", 10.1, 1.2), (302, "c3", 10.2, 1.0), (303, "c3", 10.6, 1.5), (304, "c3", 10.3, 1.7), (305, "c3", 1.0, 2.1), (306, "c3", 10.0, 2.2), (307, "c3", 10.3, 2.3)]
 
 
@@ -326,6 +352,119 @@ def test_naive_bayes_and_outliers(spark):
     assert scores[1] == 2.5 and scores[3] == 2.0
 
 
+def test_large_values_lose_no_digits(spark):
+    dim = spark.createDataFrame([(f"b{i}", 1e9 + 0.1 * i) for i in range(6)], "b string, t double")
+    facts = spark.createDataFrame([("g", f"b{i}") for i in range(3)] + [("none", "elsewhere")], "g string, b string")
+    got = {r.g: r for r in joins.membership_split(facts, dim, "b", "g", F.col("t")).collect()}
+    assert (got["g"].var1, got["g"].var2) == (pytest.approx(0.01, rel=1e-5), pytest.approx(0.01, rel=1e-5))
+    assert got["g"].mean1 == pytest.approx(1e9 + 0.1, abs=1e-6) and got["g"].mean2 == pytest.approx(1e9 + 0.4, abs=1e-6)
+    assert tuple(got["none"])[1:5:3] == (0, 6) and got["none"].mean1 is None and got["none"].var1 is None
+    t = {r.g: r for r in stats.membership_t_test(facts, dim, "b", "g", F.col("t")).collect()}
+    assert t["g"].t == pytest.approx(-0.3 / math.sqrt(0.02 / 3), rel=1e-5) and (t["none"].n1, t["none"].t, t["none"].p) == (0, None, None)
+    line = spark.createDataFrame([(k, i, 1e8 + 0.001 * i * s) for i in range(10) for k, s in (("x", 1), ("y", 2))], "g string, s int, v double")
+    out = stats.all_pairs_correlation(line, "g", "s", "v").first()
+    assert out.r == pytest.approx(1, abs=1e-6) and out.p == pytest.approx(0, abs=1e-6)
+    one = mining.item_similarity(line, "s", "g", "v").first()
+    assert one.pearson == pytest.approx(1, abs=1e-6)
+
+
+def test_ranks_of_one_large_group(spark):
+    df = spark.createDataFrame([("g", float(i % 50), i) for i in range(500)] + [(None, 1.0, 1)], "g string, v double, i int")
+    out = order.positional_rank(df.repartition(7), "g", F.desc("v"), "i")
+    want = {i: k + 1 for k, i in enumerate(sorted(range(500), key=lambda i: (-(i % 50), i)))}
+    assert {r.i: r["rank"] for r in out.where("g = 'g'").collect()} == want
+    assert [r["rank"] for r in out.where("g IS NULL").collect()] == [1]
+    rho = stats.spearman(df.withColumn("w", F.col("i") * -1.0), "g", "i", "w").where("g = 'g'").first()
+    assert (rho.n, rho.rho, rho.p) == (500, -1.0, 0.0)
+
+
+def test_long_baskets(spark):
+    """More items than are listed in one array, against all subsets."""
+    items = [f"i{k:02d}" for k in range(14)]
+    df = spark.createDataFrame([(1, x) for x in items] + [(2, items[0]), (2, items[13])], "g int, i string")
+    out = mining.association_rules(df, "g", "i")
+    assert out.count() == sum(math.comb(14, k) * k for k in range(2, 15))
+    assert {(r.consequent, r.support, r.confidence) for r in out.where("antecedent = 'i00'").collect()} == {(x, 2 if x == "i13" else 1, 1.0 if x == "i13" else 0.5) for x in items[1:]}
+
+
+def test_pooled_naive_bayes(spark):
+    """A pooled table holds for every attribute, and many attributes don't underflow."""
+    names = [f"c{i}" for i in range(120)]
+    df = spark.createDataFrame([(i, *[str(i % 2) if k % 3 else str(i % 10) for k in range(120)], "even" if i % 2 == 0 else "odd") for i in range(40)], f"id int, {', '.join(f'{n} string' for n in names)}, label string")
+    for pooled in (False, True):
+        few = names if not pooled else names[:4]
+        got = dict(rows(mining.naive_bayes_classify(df, "id", few, mining.naive_bayes_table(df, few, "label", pooled)), "id", "label"))
+        assert got == {i: "even" if i % 2 == 0 else "odd" for i in range(40)}
+
+
+def test_knn_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    s = spark.createDataFrame([(i, [float(a) for a in rng.normal(size=3)], int(i % 3)) for i in range(200)], "id long, f array<double>, c int")
+    q = s.where("id < 20")
+    blocks = mining.knn_classify(q, s, "id", "f", "c", 5, most_bytes=500)
+    assert plan(blocks).count("BroadcastNestedLoopJoin") > 1 and "CartesianProduct" not in plan(blocks)
+    assert rows(blocks, "id", "label") == rows(mining.knn_classify(q, s, "id", "f", "c", 5), "id", "label")
+
+
+def test_rectangles_of_all_sizes(spark):
+    """Few rows for each rectangle, however large; overlap and containment against all pairs."""
+    r = random.Random(6)
+    boxes = []
+    for i in range(120):
+        x, y, w, h = r.uniform(-500, 500), r.uniform(-500, 500), 10 ** r.uniform(-1, 3.5), 10 ** r.uniform(-1, 3.5)
+        boxes.append((i, x, x + w, y, y + h))
+    df = spark.createDataFrame(boxes, "id int, xmin double, xmax double, ymin double, ymax double")
+    a, b = df.where("id < 60"), df.where("id >= 60")
+    meet = lambda p, q: p[1] <= q[2] and q[1] <= p[2] and p[3] <= q[4] and q[3] <= p[4]
+    within = lambda p, q: p[1] >= q[1] and p[2] <= q[2] and p[3] >= q[3] and p[4] <= q[4]
+    assert rows(spatial.overlap_join(a, b, 5.0), "a", "b") == [(p[0], q[0]) for p in boxes[:60] for q in boxes[60:] if meet(p, q)]
+    assert rows(spatial.overlap_join(a, b, 5.0, spatial.inside), "a", "b") == [(p[0], q[0]) for p in boxes[:60] for q in boxes[60:] if within(p, q)]
+    levels = list(range(12))
+    assert spatial.cells(spatial._levelled(df, 5.0), 5.0, levels).groupBy("id").count().agg(F.max("count")).first()[0] <= 9 * len(levels)
+    assert spatial.overlap_join(a.where("false"), b.where("false"), 5.0).count() == 0
+
+
+def test_csv_goes_by_header_names(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('roll,name,grade\n1,"x ""q"", y",9.5\n2,z,bad\n3,short\n4,,7\n')
+    (tmp_path / "b.csv").write_text("name,grade,extra,roll\nw,8,e,5\n")
+    (tmp_path / "c d.csv").write_text("roll,name,grade\r\n6,v,1\r\n")
+    out = sources.delimited(spark, [str(tmp_path / n) for n in ("a.csv", "b.csv", "c d.csv")], "roll int, name string, grade double", header=True)
+    assert sorted((r.roll, r.name, r.grade) for r in out.collect()) == [(1, 'x "q", y', 9.5), (4, None, 7.0), (5, "w", 8.0), (6, "v", 1.0)]
+    with pytest.raises(ValueError, match="cid"):
+        sources.delimited(spark, str(tmp_path / "b.csv"), "cid int", header=True)
+
+
+def test_counts_of_characters_and_bases(spark):
+    lines = ["Abca", "", None, "a\u00e9\u00e9\n", "%"]
+    df = spark.createDataFrame([(x,) for x in lines], "text string")
+    want = {}
+    for c in "".join(x or "" for x in lines):
+        want[c.lower()] = want.get(c.lower(), 0) + 1
+    assert dict(rows(text.char_count(df), "ch", "n")) == want
+    seqs = spark.createDataFrame([(">ACGT",), ("acgN",), (" AC ",), (None,), ("",)], "value string")
+    assert dict(rows(text.base_count(seqs), "base", "n")) == {"A": 2, "C": 2, "G": 1, "other": 1}
+
+
+def test_shared_tables(spark, tmp_path):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = tables.materialize(spark.range(5).toDF("x"), "numbers")
+    assert df.count() == 5 and os.path.isdir(df.written_at)
+    tables.discard(df)
+    assert not os.path.exists(df.written_at)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.scratch(Elsewhere)
+
+
 def test_functions(spark):
     df = spark.createDataFrame([(["a", "b", "c"], [3.0, 4.0], [0.0, 0.0], 5, 2)], "i array<string>, x array<double>, y array<double>, n int, k int")
     row = df.select(fn.subsets("i"), fn.euclidean("x", "y"), fn.without_index("i", 1), fn.choose(F.col("n"), F.col("k")), fn.choose(F.col("k"), F.col("n")), fn.dot("x", "x"), fn.add("x", "x"), fn.scale("x", 2.0), fn.sorted_letters(F.lit("cab"))).first()
@@ -341,8 +480,8 @@ def test_sources(spark, tmp_path):
     assert [sources.buckets_needed(*a) for a in ((3, 10, 5), (100, 10, 20), (1000, 10, 20))] == [3, 10, 50]
     for i in range(7):
         (tmp_path / f"t{i}.txt").write_text(f"line {i}\n")
-    sources.consolidate(spark, str(tmp_path / "t*.txt"), str(tmp_path / "out"), 2)
-    assert len(list((tmp_path / "out").glob("part-*"))) <= 2 and sources.lines(spark, str(tmp_path / "out")).count() == 7
+    assert sources.consolidate(spark, str(tmp_path / "t*.txt"), str(tmp_path / "out"), 2, 4) == 2
+    assert len(list((tmp_path / "out").glob("part-*"))) == 2 and sources.lines(spark, str(tmp_path / "out")).count() == 7
     df = sources.generate_counts(spark, 100, 7)
     sources.write_parquet(df, str(tmp_path / "p"), "key")
     sources.write_text(df, str(tmp_path / "w"), single=True)
@@ -367,7 +506,27 @@ def test_models(spark, tmp_path):
     positive = df.select("label", *((F.col(c) + 20).alias(c) for c in "ab"))
     bayes = ml.fit_naive_bayes(positive, ["a", "b"], "label")
     ml.save_model(bayes, str(tmp_path / "m"))
-    assert (tmp_path / "m").exists()
+    again, want = (m.transform(ml.as_vector(positive, ["a", "b"])) for m in (ml.load_model(str(tmp_path / "m")), bayes))
+    assert rows(again, "a", "prediction") == rows(want, "a", "prediction")
+    ml.save_model(ml.fit_text_logistic(df, "text", "label"), str(tmp_path / "p"))
+    assert rows(ml.load_model(str(tmp_path / "p")).transform(df), "id", "prediction") == rows(mail, "id", "prediction")
+
+
+def test_kmeans_goes_on_until_it_rests(spark):
+    """Centres that begin at one end of a line need more than twenty rounds."""
+    points = [float(i) for i in range(300)]
+    df = spark.createDataFrame([(i, [x]) for i, x in enumerate(points)], "id int, f array<double>").coalesce(1)
+    centres, rounds = np.array(points[:4]), 0
+    while True:
+        near = np.abs(np.array(points)[:, None] - centres[None, :]).argmin(axis=1)
+        new = np.array([np.mean(np.array(points)[near == k]) for k in range(4)])
+        rounds += 1
+        if np.mean((new - centres) ** 2) <= 1e-6:
+            break
+        centres = new
+    assert rounds > 20 and [c[0] for c in ml.kmeans(df, "id", "f", 4)] == pytest.approx(list(new))
+    assert ml.kmeans(df.where("false"), "id", "f", 2) == []
+    assert len(ml.kmeans(df, "id", "f", 2, rounds=1)) == 2
 
 
 def test_streaming(spark, tmp_path):
