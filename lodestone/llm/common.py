@@ -2,60 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.tables import batch_rows, discard, discard_at_exit, materialize, scratch, small_batches  # noqa: F401  of these operators, too
+
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where the session names none (local tests) is a temporary folder made, which goes at exit.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="lodestone-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-BATCH_ROWS = 1_000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Send texts to Python workers a thousand at a time: Arrow's buffers lie outside the heap on both sides.
-
-    A setting that is smaller already stays.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts lineage and survives lost executors, since Spark's commit protocol only shows whole task outputs.
-    """
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values."""
     x = x ^ (x >> U64(33))
@@ -187,7 +148,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(low, "u")
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v")))
-        e = materialize(small.where("u > v").distinct(), "cc")
+        last, e = e, materialize(small.where("u > v").distinct(), "cc")
+        discard(last)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
