@@ -1,18 +1,19 @@
 """LM scoring: an interpolated modified Kneser-Ney model of any order, counted in Spark, stored as sorted hash arrays.
 
-Counts of the longest n-grams are merged by ranges of the n-gram's hash; each range gives its part of the counts of the
-n-grams one word shorter, which are merged alike, down to words. Every range becomes sorted arrays (hashes, counts, sums
-over the words that follow) in the shared folder. Scoring workers memory-map those files, so neither driver nor workers
-hold the model; what is in memory is pages that lookups touch. Nothing is pruned.
+Words are counted first and numbered, the frequent ones low. Counts of the longest n-grams, as rows of word numbers, are
+merged by ranges of the n-gram's hash; each range gives its part of the counts of the n-grams one word shorter, which are
+merged alike, down to words. Every range becomes one file of sorted arrays in the shared folder. Scoring workers
+memory-map those files, a bounded number at a time, so neither driver nor workers hold the model. Nothing is pruned.
 """
 
 from __future__ import annotations
 
-import atexit
+import mmap
 import os
 import shutil
 import tempfile
 import uuid
+from collections import OrderedDict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,16 +22,23 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, WordHashes, mix, rows, scratch, small_batches
-
-#: A text begins with one START; PAD fills up n-grams that would begin before it.
-START, END, PAD = U64(0x5354415254), U64(0x454E44), U64(0x504144)
-PAIRS_PER_SHARD = 3_000_000
+from lodestone.llm.common import U64, WordHashes, batch_rows, discard_at_exit, mix, rows, scratch
+
+#: Hash of the end that every text has as its last token.
+END = U64(0x454E44)
+#: Numbers of no word: PAD fills up n-grams that would begin before START, the one beginning of a text; UNSEEN has no n-gram.
+PAD, START, FIRST_WORD, UNSEEN = 0, 1, 2, 1 << 62
+GRAMS_PER_SHARD = 2_000_000
+#: Ranges are cut by so many leading bits at a time, so that the parts that travel keep a useful size.
+FAN = 11
+#: Files that a worker keeps mapped.
+MOST_MAPS = 128
 _TOKENS_PER_CHAR = 1 / 6
+_PARTS = "shard int, blob binary, level int, sums array<long>"
 
 
 class Store:
-    """Array files in the shared folder. Writes appear whole or not at all, so a task that runs again does no harm."""
+    """Files in the shared folder. A file appears whole or not at all, and a task that runs again writes the same one."""
 
     def __init__(self, root: str):
         self.root = root
@@ -42,30 +50,101 @@ class Store:
             return fs.FileSystem.from_uri(self.root)
         return None, "/" + self.root.removeprefix("file:").lstrip("/")
 
-    def write(self, name: str, array: np.ndarray) -> None:
+    def write(self, name: str, sections: list[bytes]) -> None:
         system, root = self._place()
         part = f"{root}/.{name}-{uuid.uuid4().hex}"
         if system is None:
             os.makedirs(root, exist_ok=True)
-            array.tofile(part)
+            with open(part, "wb") as out:
+                out.writelines(sections)
             os.replace(part, f"{root}/{name}")
         else:
             system.create_dir(root, recursive=True)
             with system.open_output_stream(part) as out:
-                out.write(array.tobytes())
+                for s in sections:
+                    out.write(s)
             system.move(part, f"{root}/{name}")
 
-    def map(self, name: str, kind: str) -> np.ndarray:
-        """The array, memory-mapped; a store that can't be mapped is first copied to the worker's own folder."""
+    def map(self, name: str) -> mmap.mmap:
+        """The file, memory-mapped; from a store that can't be mapped a copy, which is unlinked once mapped."""
         system, root = self._place()
-        path = f"{root}/{name}"
-        if system is not None:
-            local = tempfile.mkdtemp(prefix="lm-")
-            atexit.register(shutil.rmtree, local, ignore_errors=True)
-            with system.open_input_stream(path) as source, open(f"{local}/{name}", "wb") as out:
-                shutil.copyfileobj(source, out)
-            path = f"{local}/{name}"
-        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+        if system is None:
+            with open(f"{root}/{name}", "rb") as f:
+                return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        with tempfile.TemporaryFile() as copy, system.open_input_stream(f"{root}/{name}") as source:
+            shutil.copyfileobj(source, copy)
+            copy.flush()
+            return mmap.mmap(copy.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+def file_of(keys: np.ndarray, bits: int, values: np.ndarray, places: np.ndarray | None = None) -> list[bytes]:
+    """Sorted distinct hashes of one range, with their values, as sections of a file.
+
+    The leading ``bits`` of a hash are its range; the next ones lead, by a directory, to a bucket of about eight hashes, of
+    which the following 32 bits are stored. So a lookup of an absent hash is answered wrongly about once in 10**9. Rows of
+    values that are frequent in the range are stored as one byte, others apart.
+    """
+    n, width = values.shape
+    deep = max(0, int(n // 8).bit_length())
+    bucket = (keys << U64(bits)) >> U64(64 - deep) if deep else np.zeros(n, U64)
+    directory = np.searchsorted(bucket, np.arange((1 << deep) + 1, dtype=U64))
+    rest = (keys << U64(bits + deep)) >> U64(32)
+    whole = gram_keys(list(values.T)) if width > 1 else values[:, 0]
+    _, first, code, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+    common = np.argsort(-count, kind="stable")[:255]
+    rank = np.full(len(first), 255, np.uint8)
+    rank[common] = np.arange(len(common))
+    code = rank[code]
+    apart = np.flatnonzero(code == 255)
+    sections = [directory.astype(np.uint32), rest.astype(np.uint32), code, values[first[common]].astype(np.int64), apart.astype(np.uint32), values[apart].astype(np.int64)]
+    if places is not None:
+        sections.append(places.astype(np.uint32))
+    head = np.array([n, width, deep, len(common), len(apart), int(places is not None)], np.int64)
+    return [head.tobytes(), *(s.tobytes() + bytes(-s.nbytes % 8) for s in sections)]
+
+
+class Arrays:
+    """A file of file_of() as arrays over the mapped memory."""
+
+    def __init__(self, memory, bits: int):
+        head = np.frombuffer(memory, np.int64, 6)
+        self.n, self.width, self.deep, common, apart, placed = head.tolist()
+        self.bits, self._memory, self._at = bits, memory, head.nbytes
+        self.directory = self._take(np.uint32, (1 << self.deep) + 1)
+        self.rest = self._take(np.uint32, self.n)
+        self.code = self._take(np.uint8, self.n)
+        self.kinds = self._take(np.int64, common * self.width).reshape(-1, self.width)
+        self.apart = self._take(np.uint32, apart)
+        self.values = self._take(np.int64, apart * self.width).reshape(-1, self.width)
+        self.places = self._take(np.uint32, self.n) if placed else None
+
+    def _take(self, kind, n: int) -> np.ndarray:
+        out = np.frombuffer(self._memory, kind, n, self._at)
+        self._at += out.nbytes + -out.nbytes % 8
+        return out
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each hash is there, its position)."""
+        if not self.n:
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        bucket = ((keys << U64(self.bits)) >> U64(64 - self.deep)).astype(np.int64) if self.deep else np.zeros(len(keys), np.int64)
+        rest = ((keys << U64(self.bits + self.deep)) >> U64(32)).astype(np.uint32)
+        low, end = self.directory[bucket].astype(np.int64), self.directory[bucket + 1].astype(np.int64)
+        high = end
+        for _ in range(int((high - low).max(initial=0)).bit_length()):
+            middle = (low + high) >> 1
+            less = (low < high) & (self.rest[np.minimum(middle, self.n - 1)] < rest)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        at = np.minimum(low, self.n - 1)
+        return (low < end) & (self.rest[at] == rest), at
+
+    def rows_at(self, at: np.ndarray) -> np.ndarray:
+        """Values at positions, a row for each."""
+        code = self.code[at].astype(np.int64)
+        out = self.kinds[np.minimum(code, len(self.kinds) - 1)]
+        own = code == 255
+        out[own] = self.values[np.searchsorted(self.apart, at[own])]
+        return out
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -75,13 +154,13 @@ def pack(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes.tobytes(), *planes]))
 
 
-def unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
-    """The arrays of pack(), each as its kind of number."""
+def unpack(blob: bytes, arrays: int) -> list[np.ndarray]:
+    """The arrays of pack(), as int64."""
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    sizes, at, out = raw[: 16 * len(kinds)].view(np.int64).reshape(-1, 2).tolist(), 16 * len(kinds), []
-    for (n, size), kind in zip(sizes, kinds, strict=True):
+    sizes, at, out = raw[: 16 * arrays].view(np.int64).reshape(-1, 2).tolist(), 16 * arrays, []
+    for n, size in sizes:
         plane = np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(f"u{size}").ravel()
-        out.append(plane.astype(kind))
+        out.append(plane.astype(np.int64))
         at += n * size
     return out
 
@@ -92,13 +171,9 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max))
 
 
-def steps(sorted_keys: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_keys, prepend=U64(0))
-
-
 #: Numbers of an n-gram below the highest order: its count for smoothing (different words before it; as it occurs where a
-#: text begins with it), its count as it occurs, the sum of the smoothing counts of its followers, followers of 1, 2 and more.
-NUMBERS = 6
+#: text begins with it), the sum of the smoothing counts of its followers, and its followers of count 1, 2 and more.
+NUMBERS = 5
 
 
 def tokens(known: WordHashes, text: str | None) -> np.ndarray:
@@ -107,75 +182,157 @@ def tokens(known: WordHashes, text: str | None) -> np.ndarray:
 
 
 def columns_of(t: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each token the n-gram that ends with it, a column for each place."""
+    """For each token (by its number) the n-gram that ends with it, a column for each place."""
     padded = np.concatenate([np.full(order - 2, PAD), [START], t])
     return [padded[i : i + len(t)] for i in range(order)]
 
 
 def gram_keys(columns: list[np.ndarray]) -> np.ndarray:
-    """One hash for each n-gram; a word is its own."""
-    key = columns[0]
+    """One hash for each n-gram of word numbers."""
+    key = mix(columns[0].astype(U64) + U64(0x9E3779B97F4A7C15))
     for c in columns[1:]:
-        key = mix(key * U64(0x9E3779B97F4A7C15) + mix(c))
+        key = mix(key * U64(0x9E3779B97F4A7C15) + mix(c.astype(U64) + U64(1)))
     return key
 
 
-def _summed(columns: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def _firsts(sorted_keys: np.ndarray) -> np.ndarray:
+    """Positions at which a new key begins."""
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, int)
+
+
+def _summed(keys: np.ndarray, columns: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Sorted keys of the different n-grams, their words and their summed numbers."""
-    keys = gram_keys(columns)
     order = np.argsort(keys)
     keys = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    starts = _firsts(keys)
     return keys[starts], [c[order[starts]] for c in columns], [np.add.reduceat(x[order], starts) if len(keys) else x for x in numbers]
 
 
 def _cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """(shard, begin, end) of sorted keys by their leading bits."""
-    at = np.searchsorted(keys >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
-    return [(s, int(a), int(b)) for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+    """(range, begin, end) of sorted keys by their leading bits, for the ranges that have keys."""
+    shard = keys >> U64(64 - bits)
+    at = _firsts(shard)
+    return list(zip(shard[at].tolist(), at.tolist(), [*at[1:].tolist(), len(keys)], strict=True))
+
+
+def _parts(blobs: list[tuple[int, bytes]], told: list[tuple[int, int, list[int]]] = ()) -> pa.RecordBatch:
+    """Rows of packed n-grams (shard, blob), and of what a range has to tell the driver (shard, level, sums)."""
+    shard = [s for s, _ in blobs] + [s for s, _, _ in told]
+    blob = [b for _, b in blobs] + [None] * len(told)
+    level, sums = [None] * len(blobs) + [x for _, x, _ in told], [None] * len(blobs) + [x for _, _, x in told]
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(blob, pa.binary()), pa.array(level, pa.int32()), pa.array(sums, pa.list_(pa.int64()))], ["shard", "blob", "level", "sums"])
+
+
+def _packed(keys: np.ndarray, columns: list[np.ndarray], numbers: list[np.ndarray], bits: int) -> list[tuple[int, bytes]]:
+    """N-grams cut by range. Rows of a range are sorted by as many columns as fit into 63 bits; of those a column holds
+    steps within equal values of the columns before it."""
+    wide = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
+    ordered = next((k for k in range(len(columns), 0, -1) if sum(wide[:k]) <= 63), 1)
+    sort = np.zeros(len(keys), np.int64)
+    for c, w in zip(columns[:ordered], wide, strict=False):
+        sort = sort << w | c
+    out = []
+    for s, a, b in _cuts(keys, bits):
+        order = np.argsort(sort[a:b])
+        new = np.zeros(b - a, bool)
+        new[0] = True
+        steps = []
+        for c in columns[:ordered]:
+            c = c[a:b][order]
+            step = np.where(new, c, np.diff(c, prepend=0))
+            new = new | (step != 0)
+            steps.append(small(step))
+        out.append((s, pack(np.array([ordered], np.uint8), *steps, *(small(c[a:b][order]) for c in [*columns[ordered:], *numbers]))))
+    return out
 
 
-def _blobs(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["shard", "blob"])
+def _unpacked(blobs, n: int, numbers: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Columns and numbers of n-grams from all blobs."""
+    columns, sums = [], []
+    for blob in blobs:
+        (ordered, *_), *arrays = unpack(blob, 1 + n + numbers)
+        new = np.zeros(len(arrays[0]), bool)
+        new[0] = True
+        found = []
+        for step in arrays[:ordered]:
+            total = np.cumsum(step)
+            starts = np.flatnonzero(new)
+            found.append(total - np.repeat(total[starts] - step[starts], np.diff(np.append(starts, len(step)))))
+            new = new | (step != 0)
+        columns.append([*found, *arrays[ordered:n]])
+        sums.append(arrays[n:])
+    return [np.concatenate(x) for x in zip(*columns, strict=True)], [np.concatenate(x) for x in zip(*sums, strict=True)]
+
+
+def _count_words(bits: int, most: int = 2_000_000):
+    """Word hashes with their counts, merged while they come, cut by range."""
+
+    def merged(held):
+        words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        return words, np.bincount(at, np.concatenate([c for _, c in held]), len(words)).astype(np.int64)
+
+    def flush(words, counts):
+        return _parts([(s, pack(np.diff(words[a:b], prepend=U64(0)), small(counts[a:b]))) for s, a, b in _cuts(words, bits)])
 
+    def run(batches):
+        known, held, n = WordHashes(), [], 0
+        for batch in rows(batches):
+            t = [tokens(known, text.as_py()) for text in batch.column(0)]
+            if t:
+                held.append(np.unique(np.concatenate(t), return_counts=True))
+                n += len(held[-1][0])
+            if n >= most:
+                held = [merged(held)]
+                n = len(held[0][0])
+                if 2 * n >= most:
+                    yield flush(*held[0])
+                    held, n = [], 0
+        if held:
+            yield flush(*merged(held))
 
-def _packed(keys: np.ndarray, columns: list[np.ndarray], numbers: list[np.ndarray], tally: np.ndarray, bits: int) -> pa.RecordBatch:
-    """N-grams cut by shard: the shard's words, n-grams of them, numbers; the tally goes with the first shard."""
-    out = []
-    for i, (s, a, b) in enumerate(_cuts(keys, bits)):
-        words, at = np.unique(np.concatenate([c[a:b] for c in columns]), return_inverse=True)
-        at = at.reshape(len(columns), b - a)
-        order = np.lexsort(at[::-1])
-        out.append((s, pack(steps(words), *(small(x[order]) for x in at), *(small(x[a:b][order]) for x in numbers), tally if i == 0 else tally[:0])))
-    return _blobs(out)
+    return run
 
 
-def _unpacked(blobs, n: int, numbers: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Columns and numbers of n-grams from all blobs, and the blobs' tallies."""
-    columns, sums, tallies = [], [], []
-    for blob in blobs:
-        words, *rest = unpack(blob.as_py(), (U64, *[np.int64] * (n + numbers + 1)))
-        words = np.cumsum(words, dtype=U64)
-        columns.append([words[x] for x in rest[:n]])
-        sums.append(rest[n:-1])
-        tallies.append(rest[-1])
-    return [np.concatenate(x) for x in zip(*columns, strict=True)], [np.concatenate(x) for x in zip(*sums, strict=True)], tallies
+def _rarity(counts: np.ndarray) -> np.ndarray:
+    """Class of a word by its count; frequent words have low classes and so low numbers."""
+    return 63 - np.log2(np.maximum(counts, 1)).astype(np.int64)
 
 
-def _count_grams(order: int, bits: int, most: int = 2_000_000):
-    """N-grams of the highest order, counted per some million tokens, cut by shard."""
+def _merge_words(store: Store, bits: int):
+    """Writes a range's sorted words with their counts and places among the range's words of one class of rarity."""
+
+    def run(key, table):
+        shard = key[0].as_py()
+        found = [unpack(b.as_py(), 2) for b in table.column("blob")]
+        words, at = np.unique(np.concatenate([np.cumsum(w.view(U64), dtype=U64) for w, _ in found]), return_inverse=True)
+        counts = np.zeros(len(words), np.int64)
+        np.add.at(counts, at, np.concatenate([c for _, c in found]))
+        kind = _rarity(counts)
+        places = np.zeros(len(words), np.int64)
+        for k in np.unique(kind).tolist():
+            places[kind == k] = np.arange((kind == k).sum())
+        store.write(f"word-{shard:06d}", file_of(words, bits, counts[:, None], places))
+        return pa.Table.from_batches([_parts([], [(shard, 0, [int(counts.sum()), *np.bincount(kind, minlength=64).tolist()])])])
+
+    return run
+
+
+def _count_grams(model: KneserNey, bits: int, most: int = 2_000_000):
+    """N-grams of the highest order, counted per some million tokens, cut by range."""
 
     def flush(held):
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        return _packed(*_summed(columns, [np.ones(len(columns[0]), np.int64)]), np.zeros(0, np.int64), bits)
+        sizes = np.array([len(t) for t in held])
+        words, at = np.unique(np.concatenate(held), return_inverse=True)
+        numbers = model.numbers(words)[1][at]
+        columns = [np.concatenate(c) for c in zip(*(columns_of(t, model.order) for t in np.split(numbers, np.cumsum(sizes)[:-1])), strict=True)]
+        return _parts(_packed(*_summed(gram_keys(columns), columns, [np.ones(len(columns[0]), np.int64)]), min(bits, FAN)))
 
     def run(batches):
         known, held, n = WordHashes(), [], 0
         for batch in rows(batches):
             for text in batch.column(0):
-                t = tokens(known, text.as_py())
-                held.append(columns_of(t, order))
-                n += len(t)
+                held.append(tokens(known, text.as_py()))
+                n += len(held[-1])
                 if n >= most:
                     yield flush(held)
                     held, n = [], 0
@@ -185,52 +342,68 @@ def _count_grams(order: int, bits: int, most: int = 2_000_000):
     return run
 
 
-def _merge_grams(store: Store, n: int, order: int, bits: int):
-    """Writes a shard's sorted arrays of n-grams; gives the shard's part of the numbers one order below, cut by shard."""
+def _told(table) -> list[tuple[int, int, list[int]]]:
+    """The rows of earlier levels for the driver, which only pass through."""
+    return [(r["shard"], r["level"], r["sums"]) for r in table.select(["shard", "level", "sums"]).to_pylist() if r["level"] is not None]
 
-    def run(key, table):
-        shard = key[0].as_py()
-        columns, numbers, tallies = _unpacked(table.column("blob"), n, 1 if n == order else NUMBERS)
-        del table
-        keys, columns, numbers = _summed(columns, numbers)
-        real = columns[0] != PAD
-        count, occurs = numbers[0], numbers[0] if n == order else numbers[1]
-        top = np.iinfo(np.uint32).max
-        store.write(f"gram{n}-{shard:06d}.key", keys[real])
-        store.write(f"gram{n}-{shard:06d}.count", np.minimum(count[real], top).astype(np.uint32))
-        if n < order:
-            store.write(f"gram{n}-{shard:06d}.stats", np.minimum(np.stack([x[real] for x in numbers[2:]], axis=1), top).astype(np.uint32))
-        del keys, numbers
-        c = count[real]
-        tally = np.array([(c == i).sum() for i in (1, 2, 3, 4)] + [len(c)], np.int64)
-        before = [t for t in tallies if len(t)]
-        tally = np.concatenate([np.sum(before, axis=0) if before else np.zeros(5 * (order - n), np.int64), tally])
-        # as the end of n-grams and, after it, as their beginning
-        end, begin = np.zeros(len(count), np.int64), np.zeros(len(c), np.int64)
-        numbers = [np.where(real, 1, occurs), occurs, end, end, end, end], [begin, begin, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)]
-        ends, begins = _summed(columns[1:], numbers[0]), _summed([x[real] for x in columns[:-1]], numbers[1])
-        del columns, numbers, count, occurs, c
-        keys, columns, numbers = _summed(*([np.concatenate(x) for x in zip(ends[i], begins[i], strict=True)] for i in (1, 2)))
-        return pa.Table.from_batches([_packed(keys, columns, numbers, tally, bits)])
+
+def _cut_again(n: int, numbers: int, bits: int, most: int = 4_000_000):
+    """Parts of coarse ranges as parts of fine ones, some million n-grams at a time."""
+
+    def flush(held):
+        columns, sums = _unpacked(held, n, numbers)
+        return _parts(_packed(*_summed(gram_keys(columns), columns, sums), bits))
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            told = _told(batch)
+            if told:
+                yield _parts([], told)
+            for blob in batch.column("blob"):
+                if blob.is_valid:
+                    held.append(blob.as_py())
+                    size += len(unpack(held[-1], 2)[1])
+                    if size >= most:
+                        yield flush(held)
+                        held, size = [], 0
+        if held:
+            yield flush(held)
 
     return run
 
 
-def _merge_words(store: Store, order: int):
-    """Writes a shard's sorted words and their numbers; gives its sums for the model's global numbers."""
+def _merge_grams(store: Store, n: int, order: int, bits: int):
+    """Writes a range's sorted arrays of n-grams; gives the range's part of the numbers one order below, cut by range."""
 
     def run(key, table):
-        shard = key[0].as_py()
-        columns, numbers, tallies = _unpacked(table.column("blob"), 1, NUMBERS)
-        words, _, (left, count, *stats) = _summed(columns, numbers)
-        store.write(f"word-{shard:06d}.key", words)
-        store.write(f"word-{shard:06d}.count", count)
-        store.write(f"word-{shard:06d}.left", left)
-        store.write(f"word-{shard:06d}.stats", np.stack(stats, axis=1))
-        before = [t for t in tallies if len(t)]
-        tally = np.sum(before, axis=0) if before else np.zeros(5 * (order - 1), np.int64)
-        sums = [int(count.sum()), int((count > 0).sum()), *((int((left == i).sum())) for i in (1, 2, 3, 4)), int(left.sum()), int((left > 2).sum()), *map(int, tally)]
-        return pa.Table.from_arrays([pa.array([x], pa.int64()) for x in sums], [f"s{i}" for i in range(len(sums))])
+        shard, told = key[0].as_py(), _told(table)
+        blobs = [b.as_py() for b in table.column("blob") if b.is_valid]
+        del table
+        if not blobs:
+            return pa.Table.from_batches([_parts([], told)])
+        columns, numbers = _unpacked(blobs, n, 1 if n == order else NUMBERS)
+        del blobs
+        keys, columns, numbers = _summed(gram_keys(columns), columns, numbers)
+        real = columns[0] != PAD
+        c = numbers[0][real]
+        if n > 1:
+            store.write(f"gram{n}-{shard:06d}", file_of(keys[real], bits, np.stack([x[real] for x in numbers], axis=1)))
+            told.append((shard >> max(0, bits - FAN), n, [shard, *((c == i).sum().item() for i in (1, 2, 3, 4)), 0, 0]))
+        else:
+            store.write(f"gram1-{shard:06d}", file_of(keys, bits, np.stack(numbers, axis=1)))
+            told.append((shard >> max(0, bits - FAN), 1, [shard, *((c == i).sum().item() for i in (1, 2, 3, 4)), int((c > 2).sum()), int(c.sum())]))
+            return pa.Table.from_batches([_parts([], told)])
+        # as the end of n-grams and, after it, as their beginning
+        end, begin = columns[1:], [x[real] for x in columns[:-1]]
+        none = np.zeros(len(real), np.int64)
+        of_end = [np.where(real, 1, numbers[0]), none, none, none, none]
+        of_begin = [np.zeros(len(c), np.int64), c, *((x).astype(np.int64) for x in (c == 1, c == 2, c > 2))]
+        del keys, numbers
+        below = [[np.concatenate(x) for x in zip(*pair, strict=True)] for pair in ((end, begin), (of_end, of_begin))]
+        del columns, end, begin, of_end, of_begin
+        both = _summed(gram_keys(below[0]), *below)
+        return pa.Table.from_batches([_parts(_packed(*both, min(bits, FAN)), told)])
 
     return run
 
@@ -245,94 +418,140 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 @dataclass
 class KneserNey:
-    """A trained model: where its arrays lie, and its global numbers. Sent to workers without the arrays."""
+    """A trained model: where its files lie, which ranges have one, and its global numbers. Workers get it without the files."""
 
     root: str
-    bits: int
-    tokens: int
-    vocabulary: int
     order: int
-    gram_discounts: dict
-    word_discounts: tuple
-    pair_types: int
-    leftover: float
-    _maps: dict = field(default_factory=dict, repr=False)
+    word_bits: int
+    bits: int
+    tokens: int = 0
+    vocabulary: int = 0
+    bases: np.ndarray | None = None  # first number of the words of a class of rarity, by class and range
+    files: dict[str, np.ndarray] = field(default_factory=dict)  # a bit for each range that has a file, by kind
+    discounts: dict[int, tuple] = field(default_factory=dict)
+    pair_types: int = 0
+    leftover: float = 1.0
+    _maps: OrderedDict = field(default_factory=OrderedDict, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_maps": {}}
-
-    def _shard(self, name: str, kind: str):
-        if name not in self._maps:
-            try:
-                self._maps[name] = Store(self.root).map(name, kind)
-            except FileNotFoundError:  # no key fell into this range
-                self._maps[name] = np.zeros(0, kind)
+        return self.__dict__ | {"_maps": OrderedDict()}
+
+    def list_files(self, kind: str, shards: list[int], bits: int) -> None:
+        there = np.zeros(1 << bits, bool)
+        there[shards] = True
+        self.files[kind] = np.packbits(there)
+
+    def _file(self, kind: str, shard: int, bits: int) -> Arrays | None:
+        """A range's arrays; None where training found nothing in the range. A listed file that is gone is an error."""
+        if kind not in self.files or not self.files[kind][shard >> 3] >> (7 - (shard & 7)) & 1:
+            return None
+        name = f"{kind}-{shard:06d}"
+        if name in self._maps:
+            self._maps.move_to_end(name)
+        else:
+            while len(self._maps) >= MOST_MAPS:
+                self._maps.popitem(last=False)
+            self._maps[name] = Arrays(Store(self.root).map(name), bits)
         return self._maps[name]
 
-    def _find(self, prefix: str, keys: np.ndarray, value: str, kind: str, width: int) -> np.ndarray:
-        """Values of sorted distinct keys, zeros where a key is absent."""
-        out = np.zeros((len(keys), width), np.int64)
+    def numbers(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and numbers of sorted distinct word hashes; 0 and UNSEEN for words that were not in training."""
+        count, number = np.zeros(len(words), np.int64), np.full(len(words), UNSEEN)
+        for s, a, b in _cuts(words, self.word_bits):
+            have = self._file("word", s, self.word_bits)
+            if have is not None:
+                hit, at = have.find(words[a:b])
+                at = at[hit]
+                count[a:b][hit] = have.rows_at(at)[:, 0]
+                number[a:b][hit] = self.bases[_rarity(count[a:b][hit]), s] + have.places[at]
+        return count, number
+
+    def _find(self, n: int, keys: np.ndarray) -> np.ndarray:
+        """Rows of numbers of n-gram keys, zeros where a key is absent."""
+        order = np.argsort(keys)
+        keys = keys[order]
+        found = np.zeros((len(keys), 1 if n == self.order else NUMBERS), np.int64)
         for s, a, b in _cuts(keys, self.bits):
-            have = self._shard(f"{prefix}-{s:06d}.key", "uint64")
-            if len(have):
-                at = np.minimum(np.searchsorted(have, keys[a:b]), len(have) - 1)
-                hit = have[at] == keys[a:b]
-                values = self._shard(f"{prefix}-{s:06d}.{value}", kind).reshape(-1, width)
-                out[a:b][hit] = values[at[hit]]
+            have = self._file(f"gram{n}", s, self.bits)
+            if have is not None:
+                hit, at = have.find(keys[a:b])
+                found[a:b][hit] = have.rows_at(at[hit])
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def score(self, sequences: list[np.ndarray]):
         """For each token sequence: number of tokens, known tokens, add-0.1 unigram and model log10 probabilities."""
         sizes = np.array([len(s) for s in sequences])
         starts = np.cumsum(sizes) - sizes
-        columns = [np.concatenate(c) for c in zip(*(columns_of(s, self.order) for s in sequences), strict=True)]
-        words, inverse = np.unique(np.concatenate(columns[-2:]), return_inverse=True)
-        before, inverse = inverse[: len(columns[0])], inverse[len(columns[0]) :]
-        seen = self._find("word", words, "count", "int64", 1)[:, 0]
-        left = self._find("word", words, "left", "int64", 1)[:, 0]
+        words, inverse = np.unique(np.concatenate(sequences), return_inverse=True)
+        seen, number = self.numbers(words)
         base = np.log10((seen + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1)))
-        uniform = 1.0 / (self.vocabulary + 1)
-        d = np.array([0.0, *self.word_discounts])
-        p = (np.maximum(left - d[np.minimum(left, 3)], 0) / max(self.pair_types, 1) + self.leftover * uniform)[inverse]
-        stats, at = self._find("word", words, "stats", "int64", 4), before
-        for n in range(2, self.order + 1):
-            d = np.array([0.0, *self.gram_discounts[n]])
-            total = stats[:, 0]
-            back = np.where(total > 0, (stats[:, 1:] @ d[1:]) / np.maximum(total, 1), 1.0)
-            keys, gram_at = np.unique(gram_keys(columns[-n:]), return_inverse=True)
-            count = self._find(f"gram{n}", keys, "count", "uint32", 1)[:, 0]
-            held = np.maximum(count - d[np.minimum(count, 3)], 0)
-            p = held[gram_at] / np.maximum(total, 1)[at] + back[at] * p
+        columns = [np.concatenate(c) for c in zip(*(columns_of(s, self.order) for s in np.split(number[inverse], starts[1:])), strict=True)]
+        p = np.full(len(inverse), 1.0 / (self.vocabulary + 1))
+        back, total = np.full(len(p), self.leftover), np.full(len(p), max(self.pair_types, 1))
+        for n in range(1, self.order + 1):
+            d = np.array([0.0, *self.discounts[n]])
+            if n == 1:
+                found = self._find(1, gram_keys([np.append(number, START)]))
+                beginning, found = found[-1], found[inverse]
+            else:
+                beginning, found = 0, self._find(n, gram_keys(columns[-n:]))
+            held = np.maximum(found[:, 0] - d[np.minimum(found[:, 0], 3)], 0)
+            p = held / np.maximum(total, 1) + back * p
             if n < self.order:
-                keys, at = np.unique(gram_keys(columns[-n - 1 : -1]), return_inverse=True)
-                stats = self._find(f"gram{n}", keys, "stats", "uint32", 4)
-        return sizes, np.add.reduceat((seen > 0)[inverse].astype(np.int64), starts), np.add.reduceat(base[inverse], starts), np.add.reduceat(np.log10(p), starts)
+                # what comes before a token is the n-gram that ends one token earlier, or the beginning
+                before = np.roll(found[:, 1:], 1, axis=0)
+                before[starts] = beginning if n > 1 else beginning[1:]
+                total = before[:, 0]
+                back = np.where(total > 0, (before[:, 1:] @ np.array(self.discounts[n + 1])) / np.maximum(total, 1), 1.0)
+        known, base, p = (seen > 0)[inverse].astype(np.int64), base[inverse].astype(np.longdouble), np.log10(p).astype(np.longdouble)
+        return sizes, np.add.reduceat(known, starts), *(np.add.reduceat(x, starts).astype(float) for x in (base, p))
+
+
+def _bits(n: float, most: int) -> int:
+    return max(3, int(np.ceil(np.log2(max(1.0, n / most)))))
 
 
-def train(docs: DataFrame, wanted: Column | None = None, order: int = 2) -> KneserNey:
+def train(docs: DataFrame, wanted: Column | None = None, order: int = 3, grams_per_shard: int = GRAMS_PER_SHARD) -> KneserNey:
     """Count all rows of ``docs`` where ``wanted`` holds (null texts are empty ones) and write the model's arrays.
 
     ``order`` is the length of the longest n-grams, 2 or more. N-grams at the beginning of a text count as they occur
-    at every order, since nothing but the beginning comes before them.
+    at every order, since nothing but the beginning comes before them. A range holds about ``grams_per_shard`` n-grams,
+    which one task merges in memory. The files stay until the session ends.
     """
     if order < 2:
         raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
-    small_batches(spark)
     texts = (docs if wanted is None else docs.where(wanted)).select(F.col("text").cast("string").alias("text"))
-    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    bits = max(3, int(np.ceil(np.log2(max(1, chars * _TOKENS_PER_CHAR * (order - 1) ** 2 / PAIRS_PER_SHARD)))))
-    store = Store(f"{scratch(spark)}/kneser-ney-{uuid.uuid4().hex}")
-    parts = texts.mapInArrow(_count_grams(order, bits), "shard int, blob binary")
-    for n in range(order, 1, -1):
-        parts = parts.groupBy("shard").applyInArrow(_merge_grams(store, n, order, bits), "shard int, blob binary")
-    size = 8 + 5 * (order - 1)
-    sums = parts.groupBy("shard").applyInArrow(_merge_words(store, order), ", ".join(f"s{i} long" for i in range(size)))
-    s = [int(x or 0) for x in sums.agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(size))).first()]
-    word_d = discounts(*s[2:6])
-    leftover = (word_d[0] * s[2] + word_d[1] * s[3] + word_d[2] * s[7]) / s[6] if s[6] else 1.0
-    gram_d = {n: discounts(*s[8 + 5 * (order - n) :][:4]) for n in range(order, 1, -1)}
-    return KneserNey(store.root, bits, s[0], s[1], order, gram_d, word_d, s[-1], leftover)
+    size = (texts.agg(F.sum(F.length("text"))).first()[0] or 0) * _TOKENS_PER_CHAR
+    root = f"{scratch(spark)}/kneser-ney-{uuid.uuid4().hex}"
+    discard_at_exit(spark, root)
+    store = Store(root)
+    model = KneserNey(root, order, _bits(size / 4, grams_per_shard), _bits(size, grams_per_shard))
+    with batch_rows(spark):
+        words = texts.mapInArrow(_count_words(model.word_bits), _PARTS).groupBy("shard").applyInArrow(_merge_words(store, model.word_bits), _PARTS).collect()
+        by_class = np.zeros((64, 1 << model.word_bits), np.int64)
+        for r in words:
+            by_class[:, r.shard] = r.sums[1:]
+        model.tokens, model.vocabulary = sum(r.sums[0] for r in words), int(by_class.sum())
+        model.bases = FIRST_WORD + np.cumsum(np.append(0, by_class.ravel()))[:-1].reshape(by_class.shape)
+        model.list_files("word", [r.shard for r in words], model.word_bits)
+        parts = texts.mapInArrow(_count_grams(model, model.bits), _PARTS)
+        for n in range(order, 0, -1):
+            if model.bits > FAN:
+                parts = parts.repartition("shard").mapInArrow(_cut_again(n, 1 if n == order else NUMBERS, model.bits), _PARTS)
+            parts = parts.groupBy("shard").applyInArrow(_merge_grams(store, n, order, model.bits), _PARTS)
+        told = parts.collect()
+    for n in range(1, order + 1):
+        of = [r.sums for r in told if r.level == n]
+        model.list_files(f"gram{n}", [s[0] for s in of], model.bits)
+        counts = [sum(s[i] for s in of) for i in range(1, 7)]
+        model.discounts[n] = discounts(*counts[:4])
+        if n == 1 and counts[5]:
+            d = model.discounts[1]
+            model.pair_types, model.leftover = counts[5], (d[0] * counts[0] + d[1] * counts[1] + d[2] * counts[4]) / counts[5]
+    return model
 
 
 def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
@@ -340,7 +559,8 @@ def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end token. Null and empty texts are the end token
     alone. base_score is the add-0.1 unigram's, score the model's log10 probability; perplexity is that of the model
-    per token. Whole texts are scored. Repeated rows are each scored; an empty table gives an empty result.
+    per token. Whole texts are scored. Repeated rows are each scored; other columns are not read; an empty table gives
+    an empty result. A model file that is gone is an error.
     """
 
     def run(batches):

@@ -1,12 +1,19 @@
 """The model against a plain dictionary version."""
 
+import glob
 import math
+import os
 import random
-from collections import Counter, defaultdict
+import resource
+from collections import Counter, OrderedDict, defaultdict
+from dataclasses import replace
 
+import duckdb
+import numpy as np
 import pytest
 
 from lodestone.llm import kneser_ney, queries
+from lodestone.llm.common import WordHashes
 
 
 def brute(texts, queries):
@@ -49,7 +56,7 @@ def test_against_dictionaries(spark, seed):
     rows = [(i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("x", "y")
     wanted = df.doc_id % 10 != 0
-    got = kneser_ney.score_documents(df, kneser_ney.train(df, wanted)).orderBy("doc_id").collect()
+    got = kneser_ney.score_documents(df, kneser_ney.train(df, wanted, order=2)).orderBy("doc_id").collect()
     want = brute([t for i, t in rows if i % 10], texts)
     for g, w in zip(got, want, strict=True):
         assert (g.n_tokens, g.n_known, g.train_tokens) == w[:3]
@@ -115,3 +122,80 @@ def test_query_has_order_three(spark, tmp_path, monkeypatch):
     orders, train = [], kneser_ney.train
     monkeypatch.setattr(kneser_ney, "train", lambda *a, **k: orders.append(train(*a, **k).order) or train(*a, **k))
     assert queries.op10_lm_scoring(spark, str(tmp_path)).count() == 40 and orders == [3]
+
+
+def trained(spark, texts, **settings):
+    return kneser_ney.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **settings)
+
+
+def many_texts(seed=8, n=300):
+    r = random.Random(seed)
+    return [" ".join(f"w{int(r.paretovariate(0.6))}" for _ in range(r.randrange(80))) for _ in range(n)]
+
+
+def test_ranges_cut_in_two_steps_change_nothing(spark, monkeypatch):
+    """Many small ranges, cut by two bits at a time, mapped few at a time, in a process that may open few files."""
+    texts = many_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [r.score for r in kneser_ney.score_documents(df, trained(spark, texts)).orderBy("doc_id").collect()]
+    monkeypatch.setattr(kneser_ney, "FAN", 2)
+    model = trained(spark, texts, grams_per_shard=20)
+    assert model.bits > 7
+    known = WordHashes()
+    limits = resource.getrlimit(resource.RLIMIT_NOFILE)
+    opened = len(os.listdir("/proc/self/fd"))
+    resource.setrlimit(resource.RLIMIT_NOFILE, (256, limits[1]))
+    try:
+        got = model.score([kneser_ney.tokens(known, t) for t in texts])[3]
+        assert len(os.listdir("/proc/self/fd")) <= opened + kneser_ney.MOST_MAPS
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limits)
+    assert sum(int(np.unpackbits(f).sum()) for f in model.files.values()) > 512
+    assert list(got) == pytest.approx(want, rel=1e-12)
+
+
+def test_a_lost_file_is_an_error(spark):
+    texts = many_texts(9, 40)
+    model = trained(spark, texts)
+    for name in ("word", "gram1", "gram2", "gram3"):
+        path = next(iter(sorted(glob.glob(f"{model.root}/{name}-*"))))
+        os.rename(path, path + ".gone")
+        with pytest.raises(FileNotFoundError):
+            replace(model, _maps=OrderedDict()).score([kneser_ney.tokens(WordHashes(), t) for t in texts])
+        os.rename(path + ".gone", path)
+
+
+def test_columns_that_clash_and_settings_that_stay(spark):
+    df = spark.createDataFrame([(1, "a b a", "x", 2), (1, "a b a", "y", 3), (2, "b", None, None)], "doc_id long, text string, n_tokens string, score int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = kneser_ney.score_documents(df, kneser_ney.train(df)).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(1, 4), (1, 4), (2, 2)]
+
+
+def test_arrays_of_a_range():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 9, 5000):
+        keys = np.unique(rng.integers(0, 1 << 61, n).astype(np.uint64) | np.uint64(5 << 61))
+        values = np.stack([rng.integers(0, 3, len(keys)), np.where(rng.random(len(keys)) < 0.1, rng.integers(0, 1 << 40, len(keys)), 1)], axis=1)
+        have = kneser_ney.Arrays(b"".join(kneser_ney.file_of(keys, 3, values)), 3)
+        hit, at = have.find(keys)
+        assert hit.all() and (have.rows_at(at) == values).all()
+        assert not have.find(np.setdiff1d(rng.integers(0, 1 << 61, 1000).astype(np.uint64) | np.uint64(5 << 61), keys))[0].any()
+
+
+def test_query_has_order_three_on_sql(spark, duck):
+    """All columns against the textbook formulas in SQL."""
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in queries.op10_lm_scoring(spark, sf).collect()}
+    duck.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = duck.sql(queries.ORACLES["op10_lm_scoring"]).df()
+    assert len(want) == len(got)
+    for w in want.itertuples():
+        g = got[w.doc_id]
+        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens, g.base_score, g.score, g.perplexity) == (w.held_out, w.n_tokens, w.n_known, w.train_tokens, w.base_score, w.score, w.perplexity)
+
+
+@pytest.fixture
+def duck():
+    return duckdb.connect()
