@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, Rolling, WordHashes, components, groups, list_array, longs, materialize, mix, rows, small_batches
+from lodestone.llm.common import U64, Rolling, WordHashes, components, discard, groups, list_array, longs, materialize, mix, rows
 
 _GOLD = U64(0x9E3779B97F4A7C15)
 TILE = 2048
@@ -90,57 +90,67 @@ def _sets(width: int):
     return run
 
 
-def _common(one: np.ndarray, others: list[np.ndarray]) -> list[int]:
-    """Sizes of the intersections of one sorted set with others."""
-    flat = np.concatenate(others)
-    at = np.searchsorted(one, flat)
-    at[at == len(one)] = 0
-    sizes = np.array([len(x) for x in others])
-    return np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes).tolist()
+def intersections(sets: list[np.ndarray], dense_from: int = 24, block: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, exact.
+
+    Shingles of few sets are counted pair by pair of those sets; the others as products of 0/1 matrices, some thousand
+    shingles at a time (sums stay far below 2**24, so single precision is exact).
+    """
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    row, flat = row[order], flat[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, int)
+    times = np.diff(np.append(starts, len(flat)))
+    out = np.zeros(n * n, np.float32)
+    for c in np.unique(times[(times > 1) & (times < dense_from)]).tolist():
+        i, j = np.triu_indices(c, 1)
+        at = starts[times == c]
+        for k in range(0, len(at), 20_000):
+            of = row[at[k : k + 20_000, None] + np.arange(c)]
+            np.add.at(out, (of[:, i] * n + of[:, j]).ravel(), 1)
+    out = out.reshape(n, n)
+    out += out.T
+    often = np.flatnonzero(times >= dense_from)
+    for k in range(0, len(often), block):
+        part = often[k : k + block]
+        x = np.zeros((n, len(part)), np.float32)
+        size = times[part]
+        at = np.repeat(starts[part], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        x[row[at], np.repeat(np.arange(len(part)), size)] = 1
+        out += x @ x.T
+    return out
 
 
 def _joined_components(percent: int):
-    """Of one bucket's tile: pairs of components that a link joins, as few as tell which components come together.
+    """Of each tile: the pairs of components that a link joins, as few as tell which components come together.
 
-    A pair of documents that meets in several buckets is looked at in the first of them, told by the whole band keys;
-    there it is confirmed on the full sets unless its components have come together by then.
+    All pairs of the tile (between its two sides, where it has two) are confirmed on the full sets.
     """
 
     def run(batches):
         for table in groups(batches, "tile"):
-            comps, side, n = (table.column(c).to_numpy() for c in ("comp", "side", "n"))
+            comps, side = (table.column(c).to_numpy() for c in ("comp", "side"))
             sets = [np.asarray(x.values).view(U64) for chunk in table.column("shingles").chunks for x in chunk]
-            t = int(table.column("t")[0].as_py())
-            bands = np.concatenate([chunk.flatten().to_numpy() for chunk in table.column("bands").chunks]).reshape(len(comps), -1)
-            first, second = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(comps)),) * 2
-            of = {c: c for c in comps.tolist()}
+            n = np.array([len(x) for x in sets], np.int64)
+            common = intersections(sets)
+            p, q = np.nonzero((100 + percent) * common.astype(np.float64) >= percent * (n[:, None] + n[None, :]))
+            keep = (comps[p] != comps[q]) & ((side[p] < side[q]) if side.any() else (p < q))
+            a, b = np.minimum(comps[p], comps[q])[keep], np.maximum(comps[p], comps[q])[keep]
+            of: dict[int, int] = {}
 
             def root(c, of=of):
-                while of[c] != c:
+                while of.setdefault(c, c) != c:
                     of[c] = c = of[of[c]]
                 return c
 
             joined = []
-            for i in first.tolist():
-                j = second[comps[second] != comps[i]]
-                if not side.any():
-                    j = j[j > i]
-                j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
-                for at in range(0, len(j), 4096):
-                    k = j[at : at + 4096]
-                    alike = bands[k] == bands[i]
-                    mine = alike[:, t] & ~alike[:, :t].any(axis=1)
-                    k = k[mine][np.argsort(-alike[mine].sum(axis=1), kind="stable")].tolist()
-                    done, step = 0, 1
-                    while done < len(k):
-                        x = root(int(comps[i]))
-                        part = [m for m in k[done : done + step] if root(int(comps[m])) != x]
-                        done, step = done + step, min(2 * step, 256)
-                        for m, common in zip(part, _common(sets[i], [sets[m] for m in part]) if part else [], strict=True):
-                            x, y = root(int(comps[i])), root(int(comps[m]))
-                            if x != y and 100 * common >= percent * (len(sets[i]) + len(sets[m]) - common):
-                                of[max(x, y)] = min(x, y)
-                                joined.append((min(x, y), max(x, y)))
+            for x, y in np.unique(np.stack([a, b], axis=1), axis=0).tolist():
+                x, y = root(x), root(y)
+                if x != y:
+                    of[max(x, y)] = min(x, y)
+                    joined.append((min(x, y), max(x, y)))
             if joined:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*joined, strict=True)], ["a", "b"])
 
@@ -153,9 +163,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bins: in
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. Documents link when 100 * |A & B| >= percent * |A | B| on the full
     sets. A pair at 0.75 shares a band of ``band`` of 128 coordinates with probability 1 - (1 - 0.75**4)**32 > 0.99999.
     Equal sets collapse to one representative first. Members of a bucket are then compared with ``hubs`` of them and
-    linked into components; in buckets that still hold several components, all pairs between components whose sizes
-    allow a link are confirmed on the full sets, in tiles. Links inside a component change nothing and tiles give only
-    the components that they join, so no group is expanded into rows of pairs.
+    linked into components; in buckets that still hold several components, all pairs but those inside the largest one are
+    confirmed on the full sets, in tiles. Links inside a component change nothing and tiles give only the components
+    that they join, so no group is expanded into rows of pairs. With ``band`` = 1 the chance to lose a link is below
+    10**-70, at the cost of larger buckets.
 
     Null or empty text: no shingles, linked with nothing, kept. Null doc_id: component_id and kept are null. Rows
     repeated with one doc_id share its component. Empty table: empty result.
@@ -163,7 +174,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bins: in
     if bins % band:
         raise ValueError("bins must be a multiple of band")
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = materialize(
         docs.mapInArrow(_sketches(width, bins, band), "doc_id long, n long, s1 long, s2 long, bands array<long>"), "sketches"
@@ -182,16 +192,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bins: in
     pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     links = materialize(_confirm(pairs, sets, percent), "links")
     comp = materialize(components(links), "components")
+    discard(links)
     at = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("t", "key", "rep", F.coalesce("component", "rep").alias("comp"))
-    at = at.join(classes.select("rep", "n", "bands"), "rep")
-    open_ = at.groupBy("t", "key").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    chunks = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("weight") / TILE_SHINGLES)).cast("int")
-    met = at.join(open_.select("t", "key", chunks.alias("chunks")), ["t", "key"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    met = met.join(sets.select("rep", "shingles"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    at = at.join(classes.select("rep", "n"), "rep")
+    # in a bucket the members of its largest component need not meet each other, only the rest
+    by_comp = at.groupBy("t", "key", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    open_ = by_comp.groupBy("t", "key").agg(F.max(F.struct("size", "weight", "comp")).alias("main"), F.sum("size").alias("size"), F.sum("weight").alias("weight")).where("size > main.size")
+    chunks = lambda size, weight: F.greatest(F.ceil(size / TILE), F.ceil(weight / TILE_SHINGLES)).cast("int")
+    rest = chunks(F.col("size") - F.col("main.size"), F.col("weight") - F.col("main.weight"))
+    open_ = open_.select("t", "key", F.col("main.comp").alias("main"), chunks(F.col("main.size"), F.col("main.weight")).alias("mains"), rest.alias("rests"))
+    met, inside = at.join(open_, ["t", "key"]), F.col("comp") == F.col("main")
+    met = met.withColumn("chunk", F.when(inside, -1 - F.pmod(F.xxhash64("rep"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("rests"))).cast("int"))
+    others = F.sequence(F.when(inside, 0).otherwise(-F.col("mains")), F.col("rests") - 1)
+    met = met.join(sets.select("rep", "shingles"), "rep").withColumn("other", F.explode(others))
     tile = F.xxhash64("t", "key", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    met = met.select(tile.alias("tile"), "t", "rep", "comp", "n", "bands", "shingles", (F.col("chunk") > F.col("other")).cast("int").alias("side"))
+    met = met.select(tile.alias("tile"), "rep", "comp", "shingles", (F.col("chunk") > F.col("other")).cast("int").alias("side"))
     met = met.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "tile").sortWithinPartitions("tile", "side", "rep")
     more = materialize(met.mapInArrow(_joined_components(percent), "a long, b long"), "joined")
+    discard(members, sets)
     over = components(more).toDF("component", "top")
     comp = comp.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")).unionByName(
         over.join(comp.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
