@@ -12,9 +12,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, Rolling, WordHashes, rows, small_batches, split_words
+from lodestone.llm.common import U64, Rolling, WordHashes, rows, split_words
 
-MOST_ITEM_BYTES = 32 << 20
+#: Text of the items that travel together; with their seeds and words they take about 26 times that in a worker.
+MOST_ITEM_BYTES = 4 << 20
+#: Cells of one row of the alignment, over all passages aligned together.
+MOST_CELLS = 1 << 18
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -134,7 +137,7 @@ class Items:
             reach, found = 2 * len(self.words[i]), []
             for at in np.sort(hits[np.isin(slots, self.seeds_of[i])]).tolist():
                 a, b = max(0, at - reach), min(len(h), at + reach)
-                if found and a <= found[-1][1] and b - found[-1][0] <= 4096:
+                if found and a <= found[-1][1]:
                     found[-1][1] = b
                 else:
                     found.append([a, b])
@@ -147,6 +150,18 @@ class Items:
         return {i: found for i, found in kept.items() if found}
 
 
+def _alike(cases: list) -> Iterator[list]:
+    """Cases, sorted by length, at most 64 at a time and few enough that a row of their alignment stays small."""
+    part: list = []
+    for c in cases:
+        if part and (len(part) >= 64 or (len(part) + 1) * len(c[2]) > MOST_CELLS):
+            yield part
+            part = []
+        part.append(c)
+    if part:
+        yield part
+
+
 def _search(shared, threshold: float):
     def run(batches):
         known = PlainWords()
@@ -160,8 +175,7 @@ def _search(shared, threshold: float):
             out = []
             for i, cases in todo.items():
                 cases.sort(key=lambda c: len(c[2]))
-                for k in range(0, len(cases), 64):
-                    part = cases[k : k + 64]
+                for part in _alike(cases):
                     for (doc, at, _), (score, begin, end) in zip(part, align(items.words[i], [c[2] for c in part]), strict=True):
                         if score >= threshold * 2 * len(items.words[i]):
                             out.append((doc, items.ids[i], score / (2 * len(items.words[i])), int(at[begin]), int(at[end - 1]) + 1))
@@ -173,8 +187,7 @@ def _search(shared, threshold: float):
 
 
 def item_blocks(benchmark: DataFrame, n: int = 3) -> Iterator[Broadcast]:
-    """The benchmark's items in blocks of about 32 MB at most, each sent to the workers."""
-    small_batches(benchmark.sparkSession)
+    """The benchmark's items in blocks of at most about MOST_ITEM_BYTES of text, each sent to the workers."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.length("text") * 4)).first()[0] or 0
     blocks = size // MOST_ITEM_BYTES + 1
@@ -194,7 +207,10 @@ def _leaky(shared: Broadcast, threshold: float):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, **settings) -> DataFrame:
-    """The rows of ``docs``, all columns, in whose text no item is found; a filter, so no row moves. See find_leaks."""
+    """The rows of ``docs``, all columns, in whose text no item is found; a filter, so no row moves. See find_leaks().
+
+    Rows without a text stay. Repeated rows are judged alike. An empty benchmark keeps all.
+    """
     for shared in item_blocks(benchmark, **settings):
         docs = docs.where(~_leaky(shared, threshold)(F.col("text").cast("string")))
     return docs
@@ -208,9 +224,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
     words in a row. score is the alignment's score over that of a perfect copy; rows reach ``threshold``. Words compare
     in lower case without punctuation at their ends.
 
-    Null or empty texts match nothing, and so do items without a word. Whole texts are searched. Repeated
-    documents each give their rows; equal items each give theirs. Empty tables give an empty result. Items travel to
-    the workers in blocks of at most 32 MB, a pass over the documents for each block.
+    Null or empty texts match nothing, and so do items without a word. Whole texts are searched, and each word of a
+    document is aligned with an item once, however many seeds of the item surround it. Repeated documents each give
+    their rows; equal items each give theirs; of equally good alignments in a region the first is told. Empty tables
+    give an empty result; other columns are not read. Items travel to the workers in blocks of at most 4 MB of text,
+    a pass over the documents for each block. An edited copy without any ``n`` words of the item in a row is not found.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     schema = "doc_id long, item_id long, score double, begin long, end long"

@@ -14,16 +14,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, mix, rows, small_batches
+from lodestone.llm.common import U64, materialize, mix, rows
 
 BUCKETS = 1 << 16
-MOST_LANGUAGES = 256
+#: Parts of the hash by which a language's sample is chosen; fine enough for 10**15 documents of a language.
+SHARES = 1 << 50
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Languages whose counts are with the driver at a time.
+AT_ONCE = 64
+
+
+def letter_words(text: str) -> list[str]:
+    """Runs of letters (Unicode class L); other numerals such as fractions, circled or Roman ones part words like blanks."""
+    words = _LETTERS.findall(text)
+    if all(map(str.isalpha, words)):
+        return words
+    return "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
 
 
 def features(text: str) -> np.ndarray:
     """Buckets of the byte 2- and 3-grams of the lower-cased letters, words parted by one space; empty without a letter."""
-    words = _LETTERS.findall(text.lower())
+    words = letter_words(text.lower())
     if not words:
         return np.zeros(0, np.int64)
     b = np.frombuffer(f" {' '.join(words)} ".encode("utf-8", "replace"), np.uint8).astype(U64)
@@ -44,7 +55,8 @@ def codewords(classes: int) -> np.ndarray:
     best, spread = None, -1
     for _ in range(50):
         code = np.stack([rng.permutation(np.where(np.arange(classes) % 2, 1, -1)) for _ in range(length)], axis=1).astype(np.int8)
-        apart = min((code[i] != code[j]).sum() for i in range(classes) for j in range(i))
+        alike = code.astype(np.float32) @ code.T.astype(np.float32) - 2 * length * np.eye(classes)
+        apart = (length - alike.max()) / 2
         if apart > spread:
             best, spread = code, apart
     return best
@@ -59,7 +71,7 @@ class LanguageModel:
     weights: np.ndarray
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score from 0 to 1, ambiguous); ``und``, 0 and true without a letter."""
+        """(language, score from 0 to 1, ambiguous); ``und``, 0 and true without a letter; ties go to the first by name."""
         x = features(text) if text else ()
         if not len(x) or not self.languages:
             return "und", 0.0, True
@@ -80,48 +92,58 @@ def train(docs: DataFrame, wanted: Column | None = None, per_language: int = 4_0
     """Learn from rows with text and lang where ``wanted`` holds, at most about ``per_language`` of a language.
 
     The sample is chosen by a hash of doc_id. n-grams are counted in Spark; the driver gets at most BUCKETS counts a
-    language. More than 256 languages are refused. Without a usable row the model knows no language.
+    language, of AT_ONCE languages at a time, and one row for each language. Without a usable row the model knows no
+    language. Rows without a letter teach nothing.
     """
-    small_batches(docs.sparkSession)
     good = F.col("text").isNotNull() & F.col("lang").isNotNull()
     docs = docs.where(good if wanted is None else good & wanted).select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    sizes = dict(docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect())
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = dict(docs.groupBy("lang").count().collect())
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.ones((0, 1), np.int8), np.zeros((BUCKETS, 1), np.float32))
-    share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(int(1_000_000 * min(1.0, per_language / sizes[k]))))))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share[F.col("lang")]).repartition(12, "doc_id")
+    share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(int(SHARES * min(1.0, per_language / sizes[k])) + 1))))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SHARES)) < share[F.col("lang")]).repartition(12, "doc_id")
     at = {k: i for i, k in enumerate(languages)}
 
     def count(batches):
-        seen = np.zeros((len(languages), BUCKETS), np.int64)
+        seen: dict[int, np.ndarray] = {}
         for batch in rows(batches):
             for text, lang in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                x = features(text.as_py())
-                np.add.at(seen[at[lang]], x, 1)
-        i, f = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(f), pa.array(seen[i, f])], ["i", "f", "c"])
-
-    counts = sample.mapInArrow(count, "i long, f long, c long").groupBy("i", "f").agg(F.sum("c").alias("c")).toArrow()
-    seen = np.zeros((len(languages), BUCKETS))
-    seen[counts["i"].to_numpy(), counts["f"].to_numpy()] = counts["c"].to_numpy()
-    p = (seen + 0.5) / (seen + 0.5).sum(axis=1, keepdims=True)
+                i = at[lang]
+                if i not in seen and len(seen) >= AT_ONCE:
+                    yield from parts(seen)
+                    seen.clear()
+                np.add.at(seen.setdefault(i, np.zeros(BUCKETS, np.int64)), features(text.as_py()), 1)
+        yield from parts(seen)
+
+    def parts(seen):
+        for i, c in seen.items():
+            f = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), i)), pa.array(f), pa.array(c[f])], ["i", "f", "c"])
+
+    counts = materialize(sample.mapInArrow(count, "i long, f long, c long").groupBy("i", "f").agg(F.sum("c").alias("c")), "n-grams")
     code = codewords(len(languages))
     if len(languages) == 1:
         return LanguageModel(languages, code, np.ones((BUCKETS, 1), np.float32))
-    weights = np.stack([np.log(p[bit > 0].mean(axis=0) / p[bit < 0].mean(axis=0)) for bit in code.T], axis=1)
-    return LanguageModel(languages, code, weights.astype(np.float32))
+    sums = np.zeros((2, code.shape[1], BUCKETS))  # mean distributions of the languages on a bit's two sides
+    for first in range(0, len(languages), AT_ONCE):
+        some = counts.where(F.col("i").between(first, first + AT_ONCE - 1)).toArrow()
+        seen = np.zeros((min(AT_ONCE, len(languages) - first), BUCKETS))
+        seen[some["i"].to_numpy() - first, some["f"].to_numpy()] = some["c"].to_numpy()
+        p = (seen + 0.5) / (seen + 0.5).sum(axis=1, keepdims=True)
+        side = code[first : first + AT_ONCE].T > 0
+        sums += np.stack([side @ p, ~side @ p])
+    size = np.stack([(code > 0).sum(axis=0), (code < 0).sum(axis=0)])[:, :, None]
+    weights = np.log(sums[0] / size[0]) - np.log(sums[1] / size[1])
+    return LanguageModel(languages, code, weights.T.astype(np.float32))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous for each row; only text is an input of the prediction.
 
-    Null or empty text and text without a letter: ``und``, 0.0, true. Whole texts are read, however long. Repeated
-    rows are each answered. Empty table: empty result. Other columns are not read.
+    Null or empty text and text without a letter: ``und``, 0.0, true. Ties go to the first language by name. Whole texts
+    are read, however long. Repeated rows are each answered. Empty table: empty result. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x bits floats, whatever the input
 
     def run(batches):

@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, embedding_dedup, kneser_ney, language_id, minhash_dedup, mixing, substring_dedup, token_counts, url_filter, warc_revisit
-from lodestone.llm.common import crc_of
+from lodestone.llm.common import crc_of, small_batches
 
 #: Target weights of the mix by source; sources not named share the weight 1.
 WEIGHTS = {"src0": 5} | {f"src{i}": 3 for i in range(1, 10)} | {f"src{i}": 2 for i in range(10, 20)}
 BLOCK = 16
+#: Rank file of a public tokenizer; every worker can read it.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -42,7 +45,7 @@ def op5_minhash_dedup(spark, sf_dir):
 
 
 def op6_token_counts(spark, sf_dir):
-    return token_counts.count_tokens(_read(spark, sf_dir, "documents"))
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op7_language_id(spark, sf_dir):
@@ -63,9 +66,10 @@ def op9_source_mixing(spark, sf_dir):
 
 def op10_lm_scoring(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    model = kneser_ney.train(docs, crc_of("doc_id") % 10 != 0, order=3)
+    model = kneser_ney.train(docs, crc_of("doc_id") % 10 != 0)
     out = kneser_ney.score_documents(docs, model)
-    return out.select("doc_id", (crc_of("doc_id") % 10 == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    rounded = (F.round(c, places).alias(c) for c, places in (("base_score", 6), ("score", 6), ("perplexity", 3)))
+    return out.select("doc_id", (crc_of("doc_id") % 10 == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", *rounded)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -97,12 +101,13 @@ OP2 = rf"""
 WITH top AS (SELECT coalesce(max(page_id), 0) AS top FROM pages),
 base AS (SELECT page_id, '"' || md5(coalesce(html, '')) || '"' AS etag, sha1(coalesce(html, '')) AS digest, length(coalesce(html, '')) AS n, {_CANONICAL} AS url
   FROM (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages)),
+response AS (SELECT page_id, url, n, CASE WHEN page_id % 7 <> 3 THEN etag END AS etag, CASE WHEN page_id % 7 <> 3 THEN digest END AS digest FROM base WHERE page_id % 11 <> 5),
 revisit AS (SELECT *, page_id * 2 + 1 + (top // 2) * 2 AS ts FROM base, top),
 met AS (SELECT r.page_id, r.url, r.etag, r.digest, r.ts, o.page_id AS old, o.etag AS old_etag, o.digest AS old_digest, o.n AS old_n
-  FROM revisit r ASOF LEFT JOIN base o ON r.url = o.url AND r.ts > o.page_id * 2)
-SELECT page_id, url AS canonical_url, old AS refers_to, outcome, CASE WHEN outcome = 'resolved' THEN
-  'content-length=' || old_n || ';content-type=text/html;date=' || ts || ';etag=' || etag END AS headers, CASE WHEN outcome = 'resolved' THEN old_digest END AS digest
-FROM (SELECT *, CASE WHEN old IS NULL THEN 'missing' WHEN etag = old_etag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM met)
+  FROM revisit r ASOF LEFT JOIN response o ON r.url = o.url AND r.ts > o.page_id * 2)
+SELECT page_id, url AS canonical_url, old AS refers_to, outcome, CASE WHEN outcome IN ('resolved', 'unvalidated') THEN
+  'content-length=' || old_n || ';content-type=text/html;date=' || ts || ';etag=' || etag END AS headers, CASE WHEN outcome IN ('resolved', 'unvalidated') THEN old_digest END AS digest
+FROM (SELECT *, CASE WHEN old IS NULL THEN 'missing' WHEN old_etag IS NULL THEN 'unvalidated' WHEN etag = old_etag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM met)
 """
 
 OP3 = """
@@ -155,4 +160,32 @@ stop AS (SELECT min(c // {BLOCK} // a * {_TOTAL} + slot) AS stop FROM (SELECT na
 SELECT doc_id, source, mix_slot::BIGINT AS mix_slot, mix_place::BIGINT AS mix_place, coalesce(mix_slot < stop, false) AS mix_within FROM placed, stop
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_warc_revisit": OP2, "op3_embedding_dedup": OP3, "op4_url_filter": OP4, "op5_minhash_dedup": OP5, "op9_source_mixing": OP9}
+#: crc32 of an id as text, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+  lambda h, b: list_reduce(list_prepend(xor(h, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+# the end of a text is a line feed, its beginning a blank; neither occurs in a word
+OP10 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_CRC32.format("doc_id")} % 10 = 0 AS held_out, list_append({_WORDS.format(_ASCII_LOWER.format("text"))}, chr(10)) AS w FROM documents),
+t AS MATERIALIZED (SELECT r, held_out, CASE WHEN i = 2 THEN ' ' WHEN i > 2 THEN w[i - 2] END AS a, CASE WHEN i = 1 THEN ' ' ELSE w[i - 1] END AS b, w[i] AS c FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+seen AS (SELECT c, count(*) AS n FROM t WHERE NOT held_out GROUP BY c), all_seen AS (SELECT sum(n)::BIGINT AS n, count(*) AS v FROM seen),
+c3 AS MATERIALIZED (SELECT a, b, c, count(*) AS n FROM t WHERE NOT held_out AND a IS NOT NULL GROUP BY ALL),
+c2 AS MATERIALIZED (SELECT b, c, count(*) AS n FROM c3 GROUP BY ALL UNION ALL SELECT b, c, count(*) FROM t WHERE NOT held_out AND b = ' ' GROUP BY ALL),
+c1 AS MATERIALIZED (SELECT c, count(*) AS n FROM c2 GROUP BY c),
+k AS (SELECT o, count(*) FILTER (n = 1) AS a, count(*) FILTER (n = 2) AS b, count(*) FILTER (n = 3) AS c, count(*) FILTER (n = 4) AS d FROM (SELECT 1 AS o, n FROM c1 UNION ALL SELECT 2, n FROM c2 UNION ALL SELECT 3, n FROM c3) GROUP BY o),
+d0 AS (SELECT o, a > 0 AND b > 0 AND c > 0 AS sound, a / (a + 2 * b) AS y, a, b, c, d FROM k),
+dis AS MATERIALIZED (SELECT o, [CASE WHEN sound THEN least(greatest(1 - 2 * y * b / a, 0), 1) ELSE 0.5 END, CASE WHEN sound THEN least(greatest(2 - 3 * y * c / b, 0), 2) ELSE 0.5 END, CASE WHEN sound THEN least(greatest(3 - 4 * y * d / c, 0), 3) ELSE 0.5 END] AS d FROM d0),
+x3 AS (SELECT a, b, sum(n) AS total, sum(d[least(n, 3)]) AS mass FROM c3, dis WHERE o = 3 GROUP BY a, b),
+x2 AS (SELECT b, sum(n) AS total, sum(d[least(n, 3)]) AS mass FROM c2, dis WHERE o = 2 GROUP BY b),
+x1 AS (SELECT sum(n) AS total, sum(d[least(n, 3)]) AS mass FROM c1, dis WHERE o = 1),
+p1 AS MATERIALIZED (SELECT t.r, t.a, t.b, t.c, seen.n AS n, coalesce(greatest(c1.n - d[least(c1.n, 3)], 0), 0) / x1.total + x1.mass / x1.total / (v + 1) AS p
+  FROM t CROSS JOIN all_seen CROSS JOIN x1 CROSS JOIN (SELECT d FROM dis WHERE o = 1) LEFT JOIN c1 ON c1.c = t.c LEFT JOIN seen ON seen.c = t.c),
+p2 AS MATERIALIZED (SELECT p1.r, p1.a, p1.b, p1.c, p1.n, CASE WHEN total > 0 THEN coalesce(greatest(c2.n - d[least(c2.n, 3)], 0), 0) / total + mass / total * p ELSE p END AS p
+  FROM p1 CROSS JOIN (SELECT d FROM dis WHERE o = 2) LEFT JOIN x2 ON x2.b = p1.b LEFT JOIN c2 ON c2.b = p1.b AND c2.c = p1.c),
+p3 AS (SELECT p2.r, p2.n, CASE WHEN total > 0 THEN coalesce(greatest(c3.n - d[least(c3.n, 3)], 0), 0) / total + mass / total * p ELSE p END AS p
+  FROM p2 CROSS JOIN (SELECT d FROM dis WHERE o = 3) LEFT JOIN x3 ON x3.a = p2.a AND x3.b = p2.b LEFT JOIN c3 ON c3.a = p2.a AND c3.b = p2.b AND c3.c = p2.c),
+s AS (SELECT r, count(*) AS n_tokens, count(p3.n) AS n_known, any_value(all_seen.n) AS train_tokens, fsum(log10((coalesce(p3.n, 0) + 0.1) / (all_seen.n + 0.1 * (v + 1)))) AS base, fsum(log10(p)) AS score FROM p3, all_seen GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, train_tokens, round(base, 6) AS base_score, round(score, 6) AS score, round(pow(10, -score / n_tokens), 3) AS perplexity FROM d JOIN s USING (r)
+"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op2_warc_revisit": OP2, "op3_embedding_dedup": OP3, "op4_url_filter": OP4, "op5_minhash_dedup": OP5, "op9_source_mixing": OP9, "op10_lm_scoring": OP10}

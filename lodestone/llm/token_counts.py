@@ -6,14 +6,14 @@ import base64
 import re
 from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import rows, small_batches
+from lodestone.llm.common import rows
 
 LEAF = 32
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Runs of one symbol that the query's clean-up shortens to a single one.
 _RUNS = re.compile(r"([^\w\s])\1{2,}")
 
@@ -47,26 +47,31 @@ class Encoder:
 
 
 class TokenTree:
-    """Pre-tokens of a text in leaves of up to LEAF, their token counts summed up a binary tree (tree[1] is the sum)."""
+    """Pre-tokens of a text in leaves, their token counts summed up a binary tree (tree[1] is the sum).
+
+    ``ends`` are the leaves' ends in the text as it is now, so batches of edits can follow each other.
+    """
 
     def __init__(self, encoder: Encoder, text: str):
-        self.encoder, self.text, self.encoded = encoder, text, 0
-        self.ends: list[int] = []  # of leaves, in the text as it was built
-        sums, self.encoded = self._leaves(encoder.pattern.findall(text), 0, self.ends)
-        self.n = max(1, len(sums))
+        self.encoder, self.text = encoder, text
+        pieces = encoder.pattern.findall(text)
+        self.encoded = len(pieces)
+        lengths, sums = self._leaves(pieces, -(-len(pieces) // LEAF))
+        self._build(np.cumsum(lengths).tolist(), sums)
+
+    def _leaves(self, pieces: list[str], leaves: int) -> tuple[list[int], list[int]]:
+        """Lengths and token counts of pre-tokens dealt out evenly over leaves."""
+        counts = self.encoder.counts(pieces)
+        cuts = [i * len(pieces) // leaves for i in range(leaves + 1)] if leaves else [0]
+        pairs = list(zip(cuts, cuts[1:], strict=False))
+        return [sum(map(len, pieces[a:b])) for a, b in pairs], [sum(counts[a:b]) for a, b in pairs]
+
+    def _build(self, ends: list[int], sums: list[int]) -> None:
+        self.ends, self.n = ends, max(1, len(sums))
         self.tree = [0] * self.n + (sums or [0])
         for i in range(self.n - 1, 0, -1):
             self.tree[i] = self.tree[2 * i] + self.tree[2 * i + 1]
 
-    def _leaves(self, pieces: list[str], at: int, ends: list[int]) -> tuple[list[int], int]:
-        sums = []
-        for i in range(0, len(pieces), LEAF):
-            part = pieces[i : i + LEAF]
-            at += sum(map(len, part))
-            ends.append(at)
-            sums.append(sum(self.encoder.counts(part)))
-        return sums, len(pieces)
-
     @property
     def total(self) -> int:
         return self.tree[1]
@@ -81,10 +86,10 @@ class TokenTree:
     def apply(self, edits: list[tuple[int, int, str]]) -> int:
         """Replace text[a:b] by s for each (a, b, s), sorted and apart; gives the number of pre-tokens encoded anew.
 
-        Pre-tokens are cut by a pattern that looks one character ahead, so re-cutting begins a leaf's start that lies
+        Pre-tokens are cut by a pattern that looks one character ahead, so re-cutting begins at a leaf's start that lies
         at least a whole pre-token before the edit and ends at the first old leaf border, past the edit, at which the
-        new cut has a border as well. The tree belongs to the text as built: the emptied leaves keep zero, and the
-        sums of a re-cut region go to its first leaf.
+        new cut has a border as well. The pre-tokens of a re-cut region are dealt out over its old leaves, whose sums
+        are updated along their paths; only where a leaf would grow to twice LEAF is the tree built anew, from sums.
         """
         if not edits:
             return 0
@@ -102,14 +107,17 @@ class TokenTree:
             k = bisect_right(places, x)
             return x + (moves[k - 1][1] if k else 0)
 
-        again, k, done = 0, 0, -1
+        begin_of = lambda leaf: self.ends[leaf - 1] if leaf else 0
+        regions, k, done = [], 0, -1  # (first leaf, last leaf, begin in the new text, pre-tokens)
         while k < len(edits):
             a = edits[k][0]
-            leaf = bisect_right(self.ends, max(a - 1, 0))
             # a leaf that begins close to the edit may owe its first border to it
-            leaf = max(done + 1, min(leaf, len(self.ends) - 1) - 1) if self.ends else 0
-            begin = self.ends[leaf - 1] if leaf else 0
-            place = moved(begin)
+            leaf = min(bisect_right(self.ends, max(a - 1, 0)), len(self.ends) - 1) if self.ends else 0
+            start = begin_of(leaf)
+            while leaf and begin_of(leaf) == start:
+                leaf -= 1
+            leaf = max(done + 1, leaf)
+            place = moved(begin_of(leaf)) if leaf else 0
             stop, pieces = leaf, []
             found = self.encoder.pattern.finditer(new, place)
             edge = place
@@ -120,7 +128,7 @@ class TokenTree:
                         k += 1
                     else:
                         stop += 1
-                goal = moved(self.ends[stop]) if stop < len(self.ends) - 1 else len(new)
+                goal = moved(self.ends[stop]) if stop < len(self.ends) and self.ends[stop] < len(self.text) else len(new)
                 while edge < goal:
                     m = next(found, None)
                     if m is None:
@@ -132,14 +140,26 @@ class TokenTree:
                     break
                 stop += 1
             if goal == len(new):
-                k, stop = len(edits), max(len(self.ends) - 1, 0)
-            self._set(leaf, sum(self.encoder.counts(pieces)))
-            for i in range(leaf + 1, stop + 1):
-                self._set(i, 0)
-            again += len(pieces)
+                k, stop = len(edits), len(self.ends) - 1
+            regions.append((leaf, stop, place, pieces))
             done = stop
+        ends = list(map(moved, self.ends))  # right outside the regions
+        grown = any(len(p) > 2 * LEAF * (last - first + 1) for first, last, _, p in regions)
+        sums = self.tree[self.n : self.n + len(self.ends)]
+        for first, last, place, pieces in reversed(regions):
+            lengths, counts = self._leaves(pieces, -(-len(pieces) // LEAF) if grown else last - first + 1)
+            ends[first : last + 1] = [place + x for x in np.cumsum(lengths, dtype=int).tolist()]
+            if grown:
+                sums[first : last + 1] = counts
+            else:
+                for i, c in enumerate(counts, first):
+                    self._set(i, c)
         self.text = new
-        return again
+        if grown:
+            self._build(ends, sums)
+        else:
+            self.ends = ends
+        return sum(len(p) for _, _, _, p in regions)
 
 
 def symbol_runs(text: str) -> list[tuple[int, int, str]]:
@@ -147,13 +167,13 @@ def symbol_runs(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), m[1]) for m in _RUNS.finditer(text)]
 
 
-def count_tokens(docs: DataFrame, edits=symbol_runs, vocabulary: str = VOCABULARY) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str, edits=symbol_runs) -> DataFrame:
     """Token counts before and after each document's edits: doc_id, tokens_before, tokens_after, n_edits,
     n_pretokens, n_reencoded.
 
     ``edits`` maps a text to sorted, disjoint (begin, end, replacement). Null and empty text: zeros. Whole texts are
-    encoded. Repeated rows are each counted; an empty table gives an empty result; other columns are not read.
-    ``vocabulary`` is a rank file that every worker can read; nothing of it is in this library.
+    encoded. Repeated rows are each counted; an empty table gives an empty result; other columns are not read,
+    so their names may clash. ``vocabulary`` is a rank file that every worker can read; nothing of it is in this library.
     """
 
     def run(batches):
@@ -168,7 +188,6 @@ def count_tokens(docs: DataFrame, edits=symbol_runs, vocabulary: str = VOCABULAR
             columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "tokens_before", "tokens_after", "n_edits", "n_pretokens", "n_reencoded"])
 
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
         run, f"doc_id {kind}, tokens_before long, tokens_after long, n_edits long, n_pretokens long, n_reencoded long"
