@@ -211,6 +211,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bins: in
     more = materialize(met.mapInArrow(_joined_components(percent), "a long, b long"), "joined")
     discard(members, sets)
     over = components(more).toDF("component", "top")
+    discard(more)
     comp = comp.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")).unionByName(
         over.join(comp.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
     )

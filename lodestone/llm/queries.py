@@ -29,7 +29,7 @@ def op1_substring_dedup(spark, sf_dir):
 def op2_warc_revisit(spark, sf_dir):
     out = warc_revisit.resolve_revisits(warc_revisit.page_records(_read(spark, sf_dir, "pages")))
     pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return out.select(((F.col("record_id") - 1) / 2).cast("long").alias("page_id"), "canonical_url", (F.col("refers_to") / 2).cast("long").alias("refers_to"), "outcome", F.array_join(pairs, ";").alias("headers"), "digest")
+    return out.select(((F.col("record_id") - 1) / 2).cast("long").alias("page_id"), "canonical_url", (F.col("refers_to") / 2).cast("long").cast("string").alias("refers_to"), "outcome", F.array_join(pairs, ";").alias("headers"), "digest")
 
 
 def op3_embedding_dedup(spark, sf_dir):
@@ -105,7 +105,7 @@ response AS (SELECT page_id, url, n, CASE WHEN page_id % 7 <> 3 THEN etag END AS
 revisit AS (SELECT *, page_id * 2 + 1 + (top // 2) * 2 AS ts FROM base, top),
 met AS (SELECT r.page_id, r.url, r.etag, r.digest, r.ts, o.page_id AS old, o.etag AS old_etag, o.digest AS old_digest, o.n AS old_n
   FROM revisit r ASOF LEFT JOIN response o ON r.url = o.url AND r.ts > o.page_id * 2)
-SELECT page_id, url AS canonical_url, old AS refers_to, outcome, CASE WHEN outcome IN ('resolved', 'unvalidated') THEN
+SELECT page_id, url AS canonical_url, old::VARCHAR AS refers_to, outcome, CASE WHEN outcome IN ('resolved', 'unvalidated') THEN
   'content-length=' || old_n || ';content-type=text/html;date=' || ts || ';etag=' || etag END AS headers, CASE WHEN outcome IN ('resolved', 'unvalidated') THEN old_digest END AS digest
 FROM (SELECT *, CASE WHEN old IS NULL THEN 'missing' WHEN old_etag IS NULL THEN 'unvalidated' WHEN etag = old_etag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM met)
 """

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, Rolling, WordHashes, list_array, longs, materialize, mix, rows, sliding_min, split_words
+from lodestone.llm.common import U64, Rolling, WordHashes, discard, list_array, longs, materialize, mix, rows, sliding_min, split_words
 
 
 def _runs(hashes: np.ndarray, width: int, seed: int):
@@ -135,6 +135,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, seed: int = 20, carry: tupl
     windows = materialize(
         real.join(wanted, "doc_id").mapInArrow(_find_windows(width, seed), "x long, y long, doc_id long"), "windows"
     )
+    discard(runs)
     first = windows.groupBy("x", "y").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("hi")).where("m < hi")
     window_hits = windows.join(first, ["x", "y"]).where("doc_id > m").select("doc_id", F.lit(None).cast("long").alias("run"), "x")
     hits = run_hits.unionByName(window_hits).groupBy("doc_id").agg(F.collect_set("run").alias("runs"), F.collect_set("x").alias("xs"))

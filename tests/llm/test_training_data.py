@@ -202,12 +202,12 @@ def cosine_truth(rows, threshold=0.93):
     return links, Counter(i for p in links for i in p), union(links, [i for i, _, _ in rows])
 
 
-@pytest.mark.parametrize(("tile", "few", "mean"), [(2048, 2048, 0.0), (2048, 50, 0.0), (16, 50, 0.6), (2048, 50, 0.8), (64, 50, 0.9)])
+@pytest.mark.parametrize(("tile", "few", "mean"), [(2048, 2048, 0.0), (16, 50, 0.6), (64, 50, 0.9)])
 def test_embedding_dedup(spark, monkeypatch, tile, few, mean):
     monkeypatch.setattr(embedding_dedup, "TILE", tile)
     monkeypatch.setattr(embedding_dedup, "FEW", few)
     monkeypatch.setattr(embedding_dedup, "BUCKET", 8)
-    rows = vectors(1, 1200, mean=mean)
+    rows = vectors(1, 900, mean=mean)
     odd = [(2000, None, 1), (2001, [0.0] * 64, 1), (2002, [float("nan")] * 64, 1), (2003, [None] + [1.0] * 63, 1), (2004, rows[0][1], None), (2006, [float("inf")] * 64, 1), (2007, [], 2)]
     rows += [*odd, (2005, rows[0][1], rows[0][2]), (2008, [1.0, 2.0], 1), (2009, [1.0, 2.1], 1), (2010, [1.0, -2.0], 1), (2011, [1e200, 2e200], 1)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, rep string, code int")
@@ -241,7 +241,7 @@ def test_embedding_recall_by_measurement(mean):
     a, b = embedding_dedup.pairs_at(x[3000:], 0.93, 4000, 9)
     p, q = (embedding_dedup.substrings(v, models, bits, tables) for v in (a, b))
     met = (p == q).any(axis=1) & (embedding_dedup.distances(p, q) <= radius)
-    assert met.mean() >= 0.985
+    assert met.mean() >= 0.99
 
 
 def test_url_filter(spark):
@@ -530,18 +530,18 @@ def test_decontamination_recall(edited, least):
     """Of the copies that an alignment with every item finds, those that seeds lead to."""
     r = random.Random(int(100 * edited))
     words = [f"t{i}" for i in range(2000)]
-    texts = [r.choices(words, k=r.randrange(20, 50)) for _ in range(60)]
+    texts = [r.choices(words, k=r.randrange(20, 50)) for _ in range(40)]
     items = decontaminate.Items([(i, " ".join(t)) for i, t in enumerate(texts)], 3)
     found = wanted = 0
     for i, t in enumerate(texts):
         copy = [w if r.random() >= edited else r.choice([f"e{r.random()}", f"{w} e", ""]) for w in t]
-        h, _ = decontaminate.plain(decontaminate.PlainWords(), " ".join([*r.choices(words, k=100), *copy, *r.choices(words, k=100)]))
+        h, _ = decontaminate.plain(decontaminate.PlainWords(), " ".join([*r.choices(words, k=30), *copy, *r.choices(words, k=30)]))
         regions = items.regions(h, 0.5)
         for j, words_of in enumerate(items.words):
             if decontaminate.align(words_of, [h])[0][0] >= len(words_of):
                 wanted += 1
                 found += any(decontaminate.align(words_of, [h[a:b]])[0][0] >= len(words_of) for a, b in regions.get(j, []))
-    assert wanted >= 40 and found >= least * wanted
+    assert wanted >= 30 and found >= least * wanted
 
 
 def test_decontamination_short_items(spark):
