@@ -38,10 +38,16 @@ def _count_each(text: Column, chars: Column) -> Column:
     return F.transform(chars, lambda c: F.struct(c.alias("ch"), (F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("long").alias("n")))
 
 
-def char_count(df: DataFrame, text: str = "text", lower: bool = True) -> DataFrame:
-    """(ch, n) over all characters; each row's characters are counted first, so a row for each different one is shuffled."""
+def char_count(df: DataFrame, text: str = "text", lower: bool = True, local: bool = True) -> DataFrame:
+    """(ch, n) over all characters.
+
+    ``local`` counts each row's characters first, so a row for each different one goes on; else a row for each character
+    goes on to the combiner. Both give the same.
+    """
     value = F.lower(text) if lower else F.col(text)
     rows = df.where(F.length(text) > 0).select(value.alias("t"))
+    if not local:
+        return rows.select(F.explode(F.split("t", "")).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
     counts = _count_each(F.col("t"), F.array_distinct(F.split("t", "")))
     return rows.select(F.explode(counts).alias("c")).groupBy("c.ch").agg(F.sum("c.n").alias("n"))
 

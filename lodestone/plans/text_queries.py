@@ -43,11 +43,19 @@ def doc_word_postings(t):
     return out.select("word", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["n"], p["doc"])), ",").alias("postings"))
 
 
-@query("SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '(?s).')) AS ch FROM documents) GROUP BY ch")
+_CHARS = "SELECT ch, count(*) AS n FROM (SELECT unnest(regexp_extract_all({}, '(?s).')) AS ch FROM documents) GROUP BY ch"
+
+
+@query(_CHARS.format("lower(text)"))
 def char_count(t):
     return text.char_count(_documents(t))
 
 
+@query(_CHARS.format("text"))
+def char_count_by_character(t):
+    return text.char_count(_documents(t), lower=False, local=False)
+
+
 @query("""SELECT base, count(*) AS n FROM (SELECT CASE WHEN c IN ('A','C','G','T') THEN c ELSE 'other' END AS base FROM (
   SELECT unnest(regexp_extract_all(translate(trim(l), 'acgt', 'ACGT'), '(?s).')) AS c FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE l NOT LIKE '>%')) GROUP BY base""")
 def base_count(t):

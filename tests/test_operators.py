@@ -155,6 +155,7 @@ def test_views(spark):
 def test_reachable_on_long_and_dense_graphs(spark):
     chain = spark.range(500).coalesce(1).selectExpr("id AS parent", "id + 1 AS child")
     assert graph.reachable(chain).count() == 501 * 502 // 2
+    assert graph.reachable(chain.where("false")).count() == 0
     ladder = [e for i in range(30) for e in ((3 * i, 3 * i + 1), (3 * i, 3 * i + 2), (3 * i + 1, 3 * i + 3), (3 * i + 2, 3 * i + 3))]
     out = graph.reachable(spark.createDataFrame(ladder, "parent long, child long"))
     assert out.count() == out.distinct().count() and out.where("parent = 0").count() == 91
@@ -440,7 +441,7 @@ def test_counts_of_characters_and_bases(spark):
     want = {}
     for c in "".join(x or "" for x in lines):
         want[c.lower()] = want.get(c.lower(), 0) + 1
-    assert dict(rows(text.char_count(df), "ch", "n")) == want
+    assert dict(rows(text.char_count(df), "ch", "n")) == want == dict(rows(text.char_count(df, local=False), "ch", "n"))
     seqs = spark.createDataFrame([(">ACGT",), ("acgN",), (" AC ",), (None,), ("",)], "value string")
     assert dict(rows(text.base_count(seqs), "base", "n")) == {"A": 2, "C": 2, "G": 1, "other": 1}
 
