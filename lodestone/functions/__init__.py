@@ -75,7 +75,12 @@ def choose(n: Column, k: Column) -> Column:
 def pearson(x, y) -> Column:
     """Correlation as an aggregate, from centred moments; null where a variance is zero."""
     spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
-    return F.least(F.greatest(F.try_divide(F.covar_pop(x, y), F.when(spread > 0, spread)), F.lit(-1.0)), F.lit(1.0))
+    return within_one(F.try_divide(F.covar_pop(x, y), F.when(spread > 0, spread)))
+
+
+def within_one(r: Column) -> Column:
+    """A correlation without the last digit's error beyond 1; null stays null, which greatest and least would skip."""
+    return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:

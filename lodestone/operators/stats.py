@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import pearson, t_p_value
+from lodestone.functions import pearson, t_p_value, within_one
 from lodestone.operators.joins import membership_split
 from lodestone.operators.order import sums_before
 
@@ -66,5 +66,5 @@ def spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     s = both.groupBy("_g", "n").agg(F.sum(u * v * w).alias("uv"), F.sum(u * u * w).alias("uu"), F.sum(v * v * w).alias("vv"))
     spread = F.sqrt("uu") * F.sqrt("vv")
     rho = F.try_divide(F.col("uv"), F.when(spread > 0, spread))
-    out = s.select(F.col("_g").alias(group), "n", F.least(F.greatest(rho, F.lit(-1.0)), F.lit(1.0)).alias("rho"))
+    out = s.select(F.col("_g").alias(group), "n", within_one(rho).alias("rho"))
     return out.withColumn("p", correlation_p(F.col("rho"), F.col("n")))

@@ -365,6 +365,8 @@ def test_large_values_lose_no_digits(spark):
     line = spark.createDataFrame([(k, i, 1e8 + 0.001 * i * s) for i in range(10) for k, s in (("x", 1), ("y", 2))], "g string, s int, v double")
     out = stats.all_pairs_correlation(line, "g", "s", "v").first()
     assert out.r == pytest.approx(1, abs=1e-6) and out.p == pytest.approx(0, abs=1e-6)
+    flat = spark.createDataFrame([(k, i, 3.0 if k == "x" else float(i)) for i in range(5) for k in "xy"], "g string, s int, v double")
+    assert tuple(stats.all_pairs_correlation(flat, "g", "s", "v").first())[2:] == (5, None, None)
     one = mining.item_similarity(line, "s", "g", "v").first()
     assert one.pearson == pytest.approx(1, abs=1e-6)
 
@@ -377,6 +379,8 @@ def test_ranks_of_one_large_group(spark):
     assert [r["rank"] for r in out.where("g IS NULL").collect()] == [1]
     rho = stats.spearman(df.withColumn("w", F.col("i") * -1.0), "g", "i", "w").where("g = 'g'").first()
     assert (rho.n, rho.rho, rho.p) == (500, -1.0, 0.0)
+    flat = stats.spearman(df.withColumn("w", F.lit(1)), "g", "i", "w").where("g = 'g'").first()
+    assert (flat.n, flat.rho, flat.p) == (500, None, None)
 
 
 def test_long_baskets(spark):
