@@ -31,8 +31,8 @@ PAD, START, FIRST_WORD, UNSEEN = 0, 1, 2, 1 << 62
 GRAMS_PER_SHARD = 2_000_000
 #: Ranges are cut by so many leading bits at a time, so that the parts that travel keep a useful size.
 FAN = 11
-#: Files that a worker keeps mapped.
-MOST_MAPS = 128
+#: Files that a worker keeps mapped. A batch visits the ranges one after the other, so more of them would not be met again.
+MOST_MAPS = 32
 _TOKENS_PER_CHAR = 1 / 6
 _PARTS = "shard int, blob binary, level int, sums array<long>"
 
@@ -183,7 +183,7 @@ def tokens(known: WordHashes, text: str | None) -> np.ndarray:
 
 def columns_of(t: np.ndarray, order: int) -> list[np.ndarray]:
     """For each token (by its number) the n-gram that ends with it, a column for each place."""
-    padded = np.concatenate([np.full(order - 2, PAD), [START], t])
+    padded = np.concatenate([np.full(order - 2, PAD, t.dtype), np.full(1, START, t.dtype), t])
     return [padded[i : i + len(t)] for i in range(order)]
 
 
@@ -230,7 +230,7 @@ def _packed(keys: np.ndarray, columns: list[np.ndarray], numbers: list[np.ndarra
     ordered = next((k for k in range(len(columns), 0, -1) if sum(wide[:k]) <= 63), 1)
     sort = np.zeros(len(keys), np.int64)
     for c, w in zip(columns[:ordered], wide, strict=False):
-        sort = sort << w | c
+        sort = sort << w | c.astype(np.int64)
     out = []
     for s, a, b in _cuts(keys, bits):
         order = np.argsort(sort[a:b])
@@ -323,9 +323,13 @@ def _count_grams(model: KneserNey, bits: int, most: int = 2_000_000):
     def flush(held):
         sizes = np.array([len(t) for t in held])
         words, at = np.unique(np.concatenate(held), return_inverse=True)
-        numbers = model.numbers(words)[1][at]
+        held.clear()
+        numbers = model.numbers(words)[1]
+        numbers = numbers.astype(np.int32 if numbers.max() < 1 << 31 else np.int64)[at]
+        del words, at
         columns = [np.concatenate(c) for c in zip(*(columns_of(t, model.order) for t in np.split(numbers, np.cumsum(sizes)[:-1])), strict=True)]
-        return _parts(_packed(*_summed(gram_keys(columns), columns, [np.ones(len(columns[0]), np.int64)]), min(bits, FAN)))
+        keys, columns, counts = _summed(gram_keys(columns), columns, [np.ones(len(columns[0]), np.int32)])
+        return _parts(_packed(keys, columns, counts, min(bits, FAN)))
 
     def run(batches):
         known, held, n = WordHashes(), [], 0
