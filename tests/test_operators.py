@@ -109,6 +109,47 @@ def test_spatial_golden(spark):
     assert spatial.overlap_chain(relations, list("pqrs"), 25.0).count() == 51
 
 
+def test_spatial_chain_shuffles_rectangles_alone(spark, monkeypatch):
+    r = random.Random(1)
+    meet = lambda a, b: a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]
+    schema = "id string, xmin double, ymin double, xmax double, ymax double"
+
+    def want(data):
+        out = [(x,) for x in data[0]]
+        for relation in data[1:]:
+            out = [(*t, x) for t in out for x in relation if meet(t[-1], x)]
+        return sorted(tuple(x[0] for x in t) for t in out)
+
+    # a crowd on one spot, corners on the grid, points, boxes below zero; full tiles and long lists are split
+    monkeypatch.setattr(spatial, "_PART", 3)
+    monkeypatch.setattr(spatial, "_LISTED", 4)
+    at = lambda: r.choice([0.0, 0.1, -8.0, 8.0, r.uniform(-60, 60), float(r.randrange(-60, 60))])
+    box = lambda i, x, y: (i, x, y, x + r.choice([0.0, 8.0, 7.9]), y + r.choice([0.0, 8.0, 3.0]))
+    data = [[box(f"{n}{i}", at(), at()) for i in range(20)] for n in "pqrst"]
+    bad = [("n", None, 0.0, 1.0, 1.0), ("m", 5.0, 0.0, -5.0, 1.0)]
+    frames = [spark.createDataFrame(x + bad, schema) for x in data]
+    for k in (3, 4, 5):
+        assert len(want(data[:k])) > 20
+        got = spatial.overlap_chain(frames[:k], list("pqrst"[:k]), 2.0)
+        assert rows(got, *"pqrst"[:k]) == want(data[:k])
+        lines = plan(got).split("\n")
+        depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+        merged = [i for i, x in enumerate(lines) if "SortMergeJoin" in x]
+        assert merged
+        for i in merged:  # no exchange lies above a join
+            level = depth(lines[i])
+            for x in reversed(lines[:i]):
+                if depth(x) < level:
+                    assert "Exchange" not in x
+                    level = depth(x)
+    # the same id twice; one box far larger than the others and none at all go the other way
+    twice = [data[0], data[1][:8] + [data[1][0]], data[2], data[3]]
+    assert rows(spatial.overlap_chain([spark.createDataFrame(x, schema) for x in twice], list("pqrs"), 2.0), *"pqrs") == want(twice)
+    for odd in ([("huge", -1e6, -1e6, 1e6, 1e6)], []):
+        mixed = [data[0], data[1], data[2][:6] * bool(odd) + odd, data[3]]
+        assert rows(spatial.overlap_chain([spark.createDataFrame(x, schema) for x in mixed], list("pqrs"), 2.0), *"pqrs") == want(mixed)
+
+
 #: The edge list whose numbers of triangles and diamonds are known.
 GRAPH = [
     (1, 2), (2, 3), (3, 4), (4, 1), (1, 3), (2, 5), (5, 6), (6, 3), (2, 6), (7, 8),
