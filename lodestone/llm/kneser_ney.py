@@ -14,15 +14,17 @@ import shutil
 import tempfile
 import uuid
 from collections import OrderedDict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import U64, WordHashes, batch_rows, discard_at_exit, mix, rows, scratch
+from lodestone.llm.common import U64, batch_rows, discard_at_exit, mix, rows, scratch
 
 #: Hash of the end that every text has as its last token.
 END = U64(0x454E44)
@@ -33,6 +35,11 @@ GRAMS_PER_SHARD = 2_000_000
 FAN = 11
 #: Files that a worker keeps mapped. A batch visits the ranges one after the other, so more of them would not be met again.
 MOST_MAPS = 32
+#: Words of more bytes are hashed one by one; texts of about so many bytes are cut into words at once.
+LONG_WORD, TEXT_BYTES = 64, 1 << 22
+#: A-Z lower-cased and each of \x09-\x0D a space; what an eight-byte number keeps of a word's last 0 to 8 bytes.
+_PLAIN = bytes(0x20 if 9 <= b <= 13 else b for b in range(256)).lower()
+_LAST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 _TOKENS_PER_CHAR = 1 / 6
 _PARTS = "shard int, blob binary, level int, sums array<long>"
 
@@ -176,9 +183,46 @@ def small(a: np.ndarray) -> np.ndarray:
 NUMBERS = 5
 
 
-def tokens(known: WordHashes, text: str | None) -> np.ndarray:
-    """Hashes of the lower-cased words, then of one end."""
-    return np.append(known.array(text.encode("utf-8", "surrogatepass").lower().split() if text else []), END)
+def hashes_of(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text the hashes of its lower-cased words, then of one end.
+
+    Eight bytes of all words are taken at a time; words of one length up to eight bytes never share a hash.
+    """
+    raw = b" ".join([*texts, bytes(8)]).translate(_PLAIN)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    inside = np.frombuffer(raw, np.uint8, len(raw) - 8) != 0x20
+    edge = inside.copy()
+    np.not_equal(inside[1:], inside[:-1], out=edge[1:])
+    edges = np.flatnonzero(edge)
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    hashes = mix(mix(eights[starts] & _LAST[np.minimum(sizes, 8)]) + sizes.astype(U64) * U64(0x9E3779B97F4A7C15))
+    more = np.flatnonzero(sizes > LONG_WORD)
+    hashes[more] = [xxhash.xxh64_intdigest(raw[a : a + n]) for a, n in zip(starts[more].tolist(), sizes[more].tolist(), strict=True)]
+    more = np.flatnonzero((sizes > 8) & (sizes <= LONG_WORD))
+    for at in range(8, LONG_WORD, 8):
+        more = more[sizes[more] > at]
+        hashes[more] = mix(hashes[more] * U64(0x9E3779B97F4A7C15) + (eights[starts[more] + at] & _LAST[np.minimum(sizes[more] - at, 8)]))
+    cuts = np.searchsorted(starts, ends)
+    return np.split(np.insert(hashes, cuts, END), (cuts + np.arange(1, len(cuts) + 1))[:-1])
+
+
+def tokens(_, text: str | None) -> np.ndarray:
+    """hashes_of() one text; null is an empty one."""
+    return hashes_of([(text or "").encode("utf-8", "surrogatepass")])[0]
+
+
+def tokens_of(column: pa.Array) -> Iterator[np.ndarray]:
+    """hashes_of() each text of a column, some megabytes at a time."""
+    held, size = [], 0
+    for text in column:
+        held.append(text.as_buffer() if text.is_valid else b"")
+        size += len(held[-1])
+        if size >= TEXT_BYTES:
+            yield from hashes_of(held)
+            held, size = [], 0
+    if held:
+        yield from hashes_of(held)
 
 
 def columns_of(t: np.ndarray, order: int) -> list[np.ndarray]:
@@ -275,9 +319,9 @@ def _count_words(bits: int, most: int = 2_000_000):
         return _parts([(s, pack(np.diff(words[a:b], prepend=U64(0)), small(counts[a:b]))) for s, a, b in _cuts(words, bits)])
 
     def run(batches):
-        known, held, n = WordHashes(), [], 0
+        held, n = [], 0
         for batch in rows(batches):
-            t = [tokens(known, text.as_py()) for text in batch.column(0)]
+            t = list(tokens_of(batch.column(0)))
             if t:
                 held.append(np.unique(np.concatenate(t), return_counts=True))
                 n += len(held[-1][0])
@@ -332,11 +376,11 @@ def _count_grams(model: KneserNey, bits: int, most: int = 2_000_000):
         return _parts(_packed(keys, columns, counts, min(bits, FAN)))
 
     def run(batches):
-        known, held, n = WordHashes(), [], 0
+        held, n = [], 0
         for batch in rows(batches):
-            for text in batch.column(0):
-                held.append(tokens(known, text.as_py()))
-                n += len(held[-1])
+            for t in tokens_of(batch.column(0)):
+                held.append(t)
+                n += len(t)
                 if n >= most:
                     yield flush(held)
                     held, n = [], 0
@@ -568,9 +612,8 @@ def score_documents(docs: DataFrame, model: KneserNey) -> DataFrame:
     """
 
     def run(batches):
-        known = WordHashes()
         for batch in rows(batches, 1_000):
-            n, k, base, score = model.score([tokens(known, t.as_py()) for t in batch.column(1)])
+            n, k, base, score = model.score(list(tokens_of(batch.column(1))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n.astype(np.int64)), pa.array(k), pa.array(np.full(len(n), model.tokens, np.int64)), pa.array(base), pa.array(score), pa.array(10.0 ** (-score / n))],
                 ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],

@@ -5,11 +5,13 @@ import math
 import os
 import random
 import resource
+import sys
 from collections import Counter, OrderedDict, defaultdict
 from dataclasses import replace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import kneser_ney, queries
@@ -173,6 +175,46 @@ def test_columns_that_clash_and_settings_that_stay(spark):
     assert sorted((r.doc_id, r.n_tokens) for r in got) == [(1, 4), (1, 4), (2, 2)]
 
 
+def test_words_of_a_batch(monkeypatch):
+    """Words cut and hashed together, against words cut and numbered one by one."""
+    r = random.Random(5)
+    space = [" ", "\t", "\n", "\v", "\f", "\r", "  ", " \n"]
+    word = lambda: "".join(r.choices("aAbBzZ\0\x1c\x85\u00a0\u3000\u00c4\u0130_", k=r.choice([1, 2, 7, 8, 9, 15, 16, 17, 60, 64, 65, 70, 200])))
+    texts = ["".join(word() + r.choice(space) for _ in range(r.randrange(40))) for _ in range(300)]
+    texts += [None, "", " ", "\n\t a", "A a", "a\0 a", "x" * 100_000, "abcdefgh" * 8, "abcdefgh" * 8 + "i", *(w + word() for w in space), *("a" * n + "b" for n in range(80)), *("a" * n + "c" for n in range(80))]
+    seen, words = {}, {}
+    for kind in (pa.string(), pa.large_string()):
+        for most in (1, 300, 1 << 22):
+            monkeypatch.setattr(kneser_ney, "TEXT_BYTES", most)
+            got = list(kneser_ney.tokens_of(pa.array(texts, kind)))
+            for text, hashes in zip(texts, got, strict=True):
+                plain = (text or "").encode().lower().split()
+                assert len(hashes) == len(plain) + 1 and hashes[-1] == kneser_ney.END
+                for w, h in zip(plain, hashes.tolist(), strict=False):
+                    assert seen.setdefault(w, h) == h and words.setdefault(h, w) == w
+                assert (kneser_ney.tokens(None, text) == hashes).all()
+    assert list(kneser_ney.tokens_of(pa.array([], pa.string()))) == []
+
+
+def test_words_cost_no_call_each():
+    """Most of the time once went into calls for each word that was new."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(500)) for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = list(kneser_ney._count_words(3)([batch]))
+    finally:
+        sys.setprofile(None)
+    assert sum(len(kneser_ney.unpack(b.as_py(), 2)[0]) for x in found for b in x.column("blob")) == 50_001
+    assert calls < 10_000
+
+
 def test_arrays_of_a_range():
     rng = np.random.default_rng(3)
     for n in (1, 7, 9, 5000):
