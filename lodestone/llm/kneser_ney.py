@@ -136,14 +136,15 @@ class Arrays:
             return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
         bucket = ((keys << U64(self.bits)) >> U64(64 - self.deep)).astype(np.int64) if self.deep else np.zeros(len(keys), np.int64)
         rest = ((keys << U64(self.bits + self.deep)) >> U64(32)).astype(np.uint32)
-        low, end = self.directory[bucket].astype(np.int64), self.directory[bucket + 1].astype(np.int64)
-        high = end
-        for _ in range(int((high - low).max(initial=0)).bit_length()):
-            middle = (low + high) >> 1
-            less = (low < high) & (self.rest[np.minimum(middle, self.n - 1)] < rest)
-            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
-        at = np.minimum(low, self.n - 1)
-        return (low < end) & (self.rest[at] == rest), at
+        at = self.directory[bucket].astype(np.int64)
+        size = self.directory[bucket + 1].astype(np.int64) - at
+        some = size > 0
+        for _ in range(int(size.max(initial=0)).bit_length()):
+            half = size >> 1  # 0 where one hash is left, so that nothing moves
+            at += half * (self.rest[at + half - 1] < rest)
+            size -= half
+        at = np.minimum(at, self.n - 1)
+        return some & (self.rest[at] == rest), at
 
     def rows_at(self, at: np.ndarray) -> np.ndarray:
         """Values at positions, a row for each."""
@@ -157,7 +158,8 @@ class Arrays:
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed blob, bytes of like weight together."""
     sizes = np.array([x for a in arrays for x in (len(a), a.itemsize)], np.int64)
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    parts = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize) for a in arrays]
+    planes = [part[:, i].tobytes() for part in parts for i in range(part.shape[1])]
     return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes.tobytes(), *planes]))
 
 
@@ -521,9 +523,10 @@ class KneserNey:
         found = np.zeros((len(keys), 1 if n == self.order else NUMBERS), np.int64)
         for s, a, b in _cuts(keys, self.bits):
             have = self._file(f"gram{n}", s, self.bits)
-            if have is not None:
+            if have is not None and have.n:
                 hit, at = have.find(keys[a:b])
-                found[a:b][hit] = have.rows_at(at[hit])
+                found[a:b] = have.rows_at(at)
+                found[a:b][~hit] = 0
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -540,19 +543,16 @@ class KneserNey:
         back, total = np.full(len(p), self.leftover), np.full(len(p), max(self.pair_types, 1))
         for n in range(1, self.order + 1):
             d = np.array([0.0, *self.discounts[n]])
-            if n == 1:
-                found = self._find(1, gram_keys([np.append(number, START)]))
-                beginning, found = found[-1], found[inverse]
-            else:
-                beginning, found = 0, self._find(n, gram_keys(columns[-n:]))
+            # of words a row for each different one, and for the beginning at last
+            found, each = (self._find(1, gram_keys([np.append(number, START)])), inverse) if n == 1 else (self._find(n, gram_keys(columns[-n:])), slice(None))
             held = np.maximum(found[:, 0] - d[np.minimum(found[:, 0], 3)], 0)
-            p = held / np.maximum(total, 1) + back * p
+            p = held[each] / np.maximum(total, 1) + back * p
             if n < self.order:
                 # what comes before a token is the n-gram that ends one token earlier, or the beginning
-                before = np.roll(found[:, 1:], 1, axis=0)
-                before[starts] = beginning if n > 1 else beginning[1:]
-                total = before[:, 0]
-                back = np.where(total > 0, (before[:, 1:] @ np.array(self.discounts[n + 1])) / np.maximum(total, 1), 1.0)
+                after = found[:, 1]
+                share = np.where(after > 0, (found[:, 2:] @ np.array(self.discounts[n + 1])) / np.maximum(after, 1), 1.0)
+                total, back = np.roll(after[each], 1), np.roll(share[each], 1)
+                total[starts], back[starts] = (after[-1], share[-1]) if n == 1 else (0, 1.0)
         known, base, p = (seen > 0)[inverse].astype(np.int64), base[inverse].astype(np.longdouble), np.log10(p).astype(np.longdouble)
         return sizes, np.add.reduceat(known, starts), *(np.add.reduceat(x, starts).astype(float) for x in (base, p))
 
